@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class Model:
         np.minimum.at(first_use, left, np.arange(len(merges)))
         np.minimum.at(first_use, right, np.arange(len(merges)))
         self.at_once = first_use[self.made] > np.arange(len(merges))
-        self.pattern = regex.compile(_PATTERN)
+        self.pattern, self.lines = regex.compile(_PATTERN), regex.compile(_PATTERN + "|\n")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # first guess of a pair's place among the keys: a table over hashed pairs
         self.bits = 18
@@ -93,11 +94,14 @@ class Model:
             out[hit] = self.ranks[self.spill[at[hit]]]
         return out
 
-    def pretokens(self, chunk: str) -> list[str]:
-        """Of text without white space, or of any text."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return self.pattern.findall(chunk.lower())
+    def pretokens(self, text: str) -> list[str]:
+        return self.pattern.findall(self.normal(text))
+
+    def normal(self, text: str) -> str:
+        """NFC and lower case, letter by letter. White space is left to the pattern, which passes over it."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space, and special tokens by themselves; no pre-token crosses these."""
@@ -168,8 +172,13 @@ def merge_ragged(model: Model, words: list[str]) -> np.ndarray:
     return counts
 
 
-def merge_trees(model: Model, words: list[str]) -> list[np.ndarray]:
-    """The symbols that are left of each word.
+def _counted(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For a Coder that counts: each word's one number is its count."""
+    return merge_ragged(model, words), np.ones(len(words), np.int64)
+
+
+def merge_trees(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that are left of the words one after another, and how many of each.
 
     Each word has a segment tree over the ranks of its adjacent pairs; the root holds the least
     rank with the leftmost place (rank, place as one number). A step applies that pair and renews the
@@ -178,45 +187,51 @@ def merge_trees(model: Model, words: list[str]) -> list[np.ndarray]:
     """
     symbols, sizes = model.start(words)
     offsets = np.cumsum(sizes) - sizes
-    out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+    left, parts = np.zeros(len(words), np.int64), []
     level = np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 2)))).astype(np.int64)
     for depth in np.unique(level):
         group = np.flatnonzero(level == depth)
         width = 1 << int(depth)
-        for part in np.array_split(group, max(1, -(-len(group) * width // (1 << 18)))):
-            _step_trees(model, symbols, offsets, sizes, part, int(depth), width, out)
-    return out
+        rows = max(1, (1 << 18) // width)
+        for k in range(0, len(group), rows):
+            part = group[k : k + rows]
+            flat, left[part] = _step_trees(model, symbols, offsets[part], sizes[part], int(depth), width)
+            parts.append((part, flat))
+    starts = np.cumsum(left) - left
+    out = np.zeros(int(left.sum()), np.int64)
+    for part, flat in parts:
+        out[ragged(starts[part], left[part])] = flat
+    return out, left
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _step_trees(model: Model, symbols, offsets, sizes, part, depth: int, width: int, out: list) -> None:
-    rows, size = np.arange(len(part)), sizes[part]
+def _step_trees(model: Model, symbols: np.ndarray, offsets: np.ndarray, size: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(width)
-    live = place < size[:, None]
-    syms = np.where(live, symbols[np.minimum(offsets[part][:, None] + place, len(symbols) - 1)], -1)
+    syms = np.where(place < size[:, None], symbols[np.minimum(offsets[:, None] + place, len(symbols) - 1)], -1)
     after = np.where(place + 1 < size[:, None], place + 1, width)
     before = np.broadcast_to(place - 1, syms.shape).copy()
-    tree = np.full((len(part), 2 * width), _NONE)
+    tree = np.full((len(size), 2 * width), _NONE)
     r, c = np.nonzero(after < width)
     rank = model.rank(syms[r, c], syms[r, c + 1])
     tree[r, width + c] = np.where(rank < _NONE, rank << 30 | c, _NONE)
     for d in range(depth - 1, -1, -1):
         a = 1 << d
         tree[:, a : 2 * a] = np.minimum(tree[:, 2 * a : 4 * a : 2], tree[:, 2 * a + 1 : 4 * a : 2])
-    active = rows[tree[:, 1] < _NONE]
-
-    def renew(r: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
-        at = leaf + width
-        tree[r, at] = value
-        for _ in range(depth):
-            at = at >> 1
-            tree[r, at] = np.minimum(tree[r, 2 * at], tree[r, 2 * at + 1])
+    flat = tree.reshape(-1)
+    active = np.flatnonzero(tree[:, 1] < _NONE)
 
     def pair(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         n = after[r, c]
-        inner = n < width
+        inner = np.flatnonzero(n < width)
         value = np.full(len(r), _NONE)
-        rank = model.rank(syms[r[inner], c[inner]], syms[r[inner], n[inner]])
-        value[inner] = np.where(rank < _NONE, rank << 30 | c[inner], _NONE)
+        if len(inner):
+            rank = model.rank(syms[r[inner], c[inner]], syms[r[inner], n[inner]])
+            value[inner] = np.where(rank < _NONE, rank << 30 | c[inner], _NONE)
         return value
 
     while len(active):
@@ -227,19 +242,67 @@ def _step_trees(model: Model, symbols, offsets, sizes, part, depth: int, width:
         far = after[active, gone]
         after[active, c] = far
         syms[active, gone] = -1
-        renew(active, gone, np.full(len(active), _NONE))
         some = far < width
         before[active[some], far[some]] = c[some]
-        renew(active, c, pair(active, c))
         prev = before[active, c]
         some = prev >= 0
         r, p = active[some], prev[some]
-        renew(r, p, pair(r, p))
+        # the leaves of the pair before, the new pair and the one that is gone, then their ancestors level by level
+        rows, at = np.concatenate([active, r]), np.concatenate([c, p])
+        tree[rows, at + width] = pair(rows, at)
+        tree[active, gone + width] = _NONE
+        rows, at = np.concatenate([rows, active]) * (2 * width), np.concatenate([at, gone]) + width
+        for _ in range(depth):
+            at = at >> 1
+            child = rows + 2 * at
+            flat[rows + at] = np.minimum(flat[child], flat[child + 1])
         active = active[tree[active, 1] < _NONE]
     left = syms >= 0
-    parts = np.split(syms[left], np.cumsum(left.sum(1))[:-1])
-    for k, x in zip(part.tolist(), parts):
-        out[k] = x
+    return syms[left], left.sum(1)
+
+
+class Coder:
+    """Encodes texts by their chunks; what a chunk comes to is remembered within a task, up to a bound.
+
+    ``merge`` takes words to (symbols, sizes), and ``special`` has what stands for each special
+    token. A batch's new words are merged together.
+    """
+
+    def __init__(self, model: Model, merge: Callable[[Model, list[str]], tuple[np.ndarray, np.ndarray]], special: list[int]):
+        self.model, self.merge, self.special = model, merge, special
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = {s: k for k, s in enumerate(self.model.special)}
+        self.flat = np.array(self.special, np.int64)
+        self.sizes = np.ones(len(self.known), np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        index = {"\n": 0}
+        order = np.array([index.setdefault(w, len(index)) for w in self.model.lines.findall(self.model.normal("\n".join(new)) + "\n")], np.int64)
+        del index["\n"]
+        symbols, sizes = self.merge(self.model, list(index)) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sizes = np.concatenate([[0], sizes])
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[order]
+        ends = np.cumsum(each)[np.flatnonzero(order == 0)]
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        self.flat = np.concatenate([self.flat, symbols[ragged(starts[order], each)]])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0)])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' symbols one after another, and how many of each text."""
+        parts = [self.model.chunks(t) if t else [] for t in texts]
+        new = set().union(*parts) - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.clear()
+            new = set().union(*parts) - self.known.keys()
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64)
+        each = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([0, *map(len, parts)])]
+        return self.flat[ragged((np.cumsum(self.sizes) - self.sizes)[at], each)], np.diff(ends)
 
 
 def _model(spark: SparkSession, path: str) -> Callable[[], Model]:
@@ -268,23 +331,6 @@ def _model(spark: SparkSession, path: str) -> Callable[[], Model]:
 _made: tuple[str, Model] | None = None
 
 
-def _learn(model: Model, known: dict, chunks: set[str], encode: Callable[[list[str]], list], join: Callable[[list], object]) -> None:
-    """Adds what is new among ``chunks`` to ``known``, all their words merged as one batch."""
-    new = [c for c in chunks if c not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(chunks)
-    special = [c for c in new if c in model.special]
-    split = [model.pretokens(c) for c in new if c not in model.special]
-    words = list({w for x in split for w in x})
-    got = dict(zip(words, encode(words))) if words else {}
-    plain = (c for c in new if c not in model.special)
-    for c, x in zip(plain, split):
-        known[c] = join([got[w] for w in x])
-    for c in special:
-        known[c] = None
-
-
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
@@ -295,11 +341,12 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = 2
     get = _model(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = get(), {}
+        model = get()
+        coder = Coder(model, _counted, [1] * len(model.special))
         for batch in slices(batches, "text", 2 << 20):
-            parts = [model.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
-            _learn(model, known, set().union(*parts), lambda w: merge_ragged(model, w).tolist(), sum)
-            tokens = [sum(1 if (n := known[c]) is None else n for c in p) for p in parts]
+            counts, each = coder.encode(batch.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(each)])]
+            tokens = np.diff(ends)
             sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
@@ -316,18 +363,12 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
     get = _model(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = get(), {}
+        model = get()
+        coder = Coder(model, merge_trees, [*model.special.values()])
         for batch in slices(batches, "text", 2 << 20):
-            parts = [model.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
-            _learn(model, known, set().union(*parts), lambda w: merge_trees(model, w), lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32))
-            for s in model.special:
-                if s in known:
-                    known[s] = np.array([model.special[s]], np.int32)
-            found = [known[c] for p in parts for c in p]
-            each = np.fromiter(map(len, found), np.int64, len(found))
-            ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([0, *map(len, parts)])]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [id_col, "ids"])
+            ids, each = coder.encode(batch.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, ids array<int>")
 
