@@ -99,7 +99,7 @@ def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFra
         left, step = after, step + 1
     if root is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    least = root.groupBy("root").agg(F.min("id").alias("component"))
+    least = tables.cut(root.groupBy("root").agg(F.min("id").alias("component")))
     return root.join(least, "root").select("id", "component")
 
 

@@ -96,9 +96,10 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     tables = Tables(spark)
     docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     runs = tables.cut(docs.mapInArrow(_runs, "gram long, context long, id long, word int, windows int, start long, end long").where("id is not null"))
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # what is counted by key is written before it is joined back: then both sides are dealt for the join, and Spark can split a frequent key
+    shared = tables.cut(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     near = tables.cut(runs.join(shared, "gram"))
-    tables.drop(runs)
+    tables.drop(runs, shared)
     place = F.struct("id", "word", "windows", "start", "end")
     kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "word")).alias("last")))
     many = kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
@@ -110,7 +111,7 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     # runs that share a suffix and differ elsewhere: one of each kind, window by window
     open_runs = kinds.join(many, "gram").select("first.*").groupBy("id").agg(F.collect_list(F.struct("word", "windows")).alias("runs"))
     wins = tables.cut(docs.join(open_runs, "id").select("id", "text", "runs").mapInArrow(_windows, "gram long, hash long, id long, word int, start long, end long"))
-    equal = wins.groupBy("gram", "hash").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last")).where("first != last").select("gram", "hash", "first")
+    equal = tables.cut(wins.groupBy("gram", "hash").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last")).where("first != last").select("gram", "hash", "first"))
     pieces = pieces.unionByName(wins.join(equal, ["gram", "hash"]).select("id", "start", "end", (F.struct("id", "word") != F.col("first")).alias("again")))
     # a later run repeats the first of its kind; whether the first itself repeats another kind is told by its windows
     return _merge(pieces)

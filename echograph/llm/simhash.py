@@ -177,7 +177,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     tables = Tables(spark)
     marks = tables.cut(fingerprints(docs, id_col, text_col))
     prints = marks.groupBy("fingerprint").agg(F.min(id_col).alias("id"))
-    parts = link_components(spark, prints, tables)
+    # written, so that both sides of the join are dealt for it and Spark can split a fingerprint that many documents have
+    parts = tables.cut(link_components(spark, prints, tables))
     return marks.join(parts, "fingerprint").select(id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
