@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import accuracy, coverage
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return accuracy.QUERIES | coverage.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return accuracy.SQL | coverage.SQL
