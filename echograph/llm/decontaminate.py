@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Edits allowed, as a share of an item's characters; an item that has fewer characters than LEAST is found by equality only.
-SHARE, LEAST = 0.05, 40
+SHARE, LEAST = 0.08, 40
 #: Code points of benchmark text that one pass broadcasts; a larger benchmark takes more passes.
 PER_PASS = 16 << 20
 
