@@ -102,7 +102,7 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     tables.drop(runs, shared)
     place = F.struct("id", "word", "windows", "start", "end")
     kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "word")).alias("last")))
-    many = kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    many = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     copied = kinds.where("first.id != last.id or first.word != last.word")
     whole = near.join(copied.select("gram", "context", "first"), ["gram", "context"])
     later = F.struct("id", "word") != F.struct("first.id", "first.word")
