@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echograph.functions import geo
 from echograph.operators import fleet
+from echograph.streaming import state
 
 from . import surrogates as su
 
@@ -87,3 +88,23 @@ g AS (SELECT hex, seq, unnest(generate_series(((at_s + 9) // 10 * 10)::BIGINT, l
 SELECT hex, grid_s, seq FROM g""")
 def held_positions(spark: SparkSession, sf: str) -> DataFrame:
     return fleet.resample(su.events(spark, sf), "hex", "at_s", 10, 60, ["seq"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS node, o_orderkey AS seq, o_orderkey * 3 AS at_s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+r AS (SELECT node, seq, at_s, k, true AS ok, at_s // 3600 AS w1, 1 AS n1, at_s // 86400 AS w2, 1 AS n2 FROM e WHERE k = 1
+  UNION ALL SELECT node, seq, at_s, k, ok, w1, c1 + ok::INT, w2, c2 + ok::INT FROM (SELECT *, c1 < 1 AND c2 < 2 AS ok FROM (
+    SELECT e.*, e.at_s // 3600 AS w1, CASE WHEN e.at_s // 3600 > r.w1 THEN 0 ELSE r.n1 END AS c1, e.at_s // 86400 AS w2, CASE WHEN e.at_s // 86400 > r.w2 THEN 0 ELSE r.n2 END AS c2
+    FROM r JOIN e ON e.node = r.node AND e.k = r.k + 1)))
+SELECT node, seq, at_s FROM r WHERE ok""")
+def registration_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a customer's registrations: one an hour and two a day at most."""
+    asked = su.table(spark, sf, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 3).alias("at_s"))
+    return state.over_batch(asked, "node", "at_s", state.windowed_limits("at_s", [(1, 3600), (2, 86400)]), "node long, seq long, at_s long")
+
+
+@query()
+def gate_hold(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as one aircraft's fixes, with velocities and misfits made of the ids."""
+    k = F.col("seq")
+    fixes = su.events(spark, sf).select("hex", "seq", "at_s", "lat", "lon", (k % 200 - 100).cast("double").alias("vel_east"), (k % 130 - 60).cast("double").alias("vel_north"), (k % 11).cast("double").alias("rms_delay"))
+    return state.over_batch(fixes, "hex", "at_s", state.gate_hold("at_s"), fixes.schema.simpleString()[7:-1].replace(":", " ") + ", held boolean, arc boolean, jumped boolean")

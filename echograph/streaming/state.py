@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from echograph.functions.geo import KM_PER_DEG, KNOT_MS
+from echograph.functions.geo import KM_PER_DEG, KNOT_MS, RADIUS_KM
 
 Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
@@ -79,6 +79,77 @@ def moved(least: float = 5e-5) -> Step:
     return step
 
 
+def windowed_limits(at: str, limits: list[tuple[int, int]]) -> Step:
+    """The requests that every (most, seconds) limit has room for; windows are aligned to multiples of their length.
+
+    A request that one limit refuses spends nothing of the others. State: (window of each limit, count of each).
+    """
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        window, count = (list(state[0]), list(state[1])) if state else ([-1] * len(limits), [0] * len(limits))
+        keep = []
+        for t in rows[at]:
+            for k, (_, seconds) in enumerate(limits):
+                now = int(t // seconds)
+                if now > window[k]:
+                    window[k], count[k] = now, 0
+            ok = all(n < most for n, (most, _) in zip(count, limits))
+            count = [n + ok for n in count]
+            keep.append(ok)
+        return rows[keep], (window, count)
+
+    return step
+
+
+WINDOWED_LIMITS_STATE = "window array<long>, count array<long>"
+
+# The gates of one-node positions (m/s, s, microseconds) and of the jump flag.
+HOLD_SPEED, HOLD_WITHIN_S, HOLD_RMS, MOST_HOLD_S, LEAST_DRIFT_S = 800.0, 60.0, 7.0, 10.0, 0.5
+JUMP_SPEED, JUMP_WITHIN_S, JUMP_M = 1029.0, 120.0, 30_000.0
+
+
+def _metres(a: float, o: float, b: float, p: float) -> float:
+    x = math.sin(math.radians(b - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(b)) * math.sin(math.radians(p - o) / 2) ** 2
+    return 2000 * RADIUS_KM * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+
+def gate_hold(at: str) -> Step:
+    """Positions that are too fast or fit too badly give way to the last one shown, moved on by the track's own velocity.
+
+    Rows have lat, lon, vel_east, vel_north and rms_delay (null: 0). A hold starts at the last position shown and ends with
+    the first good row, or after MOST_HOLD_S, when the measured position stands again. Adds held, arc (false while a bad fit
+    is held) and jumped (what is shown leaps from what was shown before). State: last shown (lat, lon, t), hold (t, lat, lon).
+    """
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        shown, hold = (list(state[0]), list(state[1])) if state else ([], [])
+        out = []
+        for t, lat, lon, east, north, rms in zip(rows[at].astype(float), rows["lat"], rows["lon"], *(rows[c].fillna(0.0) for c in ("vel_east", "vel_north", "rms_delay"))):
+            dt = t - shown[2] if shown else 0.0
+            fast = 0 < dt < HOLD_WITHIN_S and _metres(lat, lon, shown[0], shown[1]) / dt > HOLD_SPEED
+            bad = bool(shown) and rms > HOLD_RMS
+            held = (fast or bad) and not (hold and t - hold[0] > MOST_HOLD_S)
+            if held:
+                hold = hold or [t, shown[0], shown[1]]
+                gone, (lat, lon) = min(t - hold[0], MOST_HOLD_S), hold[1:]
+                if gone > LEAST_DRIFT_S:
+                    scale = KM_PER_DEG * 1000
+                    lat, lon = round(hold[1] + north * gone / scale, 6), round(hold[2] + east * gone / (scale * math.cos(math.radians(hold[1]))), 6)
+            else:
+                hold = []
+            leap = _metres(lat, lon, shown[0], shown[1]) if shown else 0.0
+            jumped = leap > JUMP_M or (0 < dt < JUMP_WITHIN_S and leap / dt > JUMP_SPEED)
+            shown = [float(lat), float(lon), t]
+            out.append((lat, lon, held, not (held and bad), jumped))
+        lat, lon, held, arc, jumped = zip(*out) if out else ((),) * 5
+        return rows.assign(lat=lat, lon=lon, held=held, arc=arc, jumped=jumped), (shown, hold)
+
+    return step
+
+
+GATE_HOLD_STATE = "shown array<double>, hold array<double>"
+
+
 def cooldown(at: str, seconds: float = 300.0) -> Step:
     """Alerts at least ``seconds`` after the last one sent: a throttle by another name."""
     return throttle(at, seconds)

@@ -142,3 +142,27 @@ def test_feed_dedup(spark):
     data = [(1, "a", "T", "single_node_ellipse_arc", 34.0, -82.0, 100.0, ["n1"]), (2, "b", "T", "multinode_solve", 34.5, -82.0, 100.0, ["n2"]), (3, "c", None, "solver_single_node", 35.0, -82.0, 1000.0, ["n3"]), (4, "d", None, "multinode_solve", 35.01, -82.0, 1500.0, ["n4"]), (5, "e", None, "multinode_solve", 35.01, -82.0, 9000.0, ["n5"])]
     got = {r.hex: r.nodes for r in feed.dedup(spark.createDataFrame(data, cols)).collect()}
     assert got == {"b": ["n1", "n2"], "d": ["n3", "n4"], "e": ["n5"]}
+
+
+def test_windowed_limits_spend_nothing_on_a_refusal():
+    step = state.windowed_limits("t", [(2, 10), (3, 100)])
+    asked = pd.DataFrame({"t": [0, 1, 2, 10, 11, 20, 100]})
+    assert step(asked, None)[0]["t"].tolist() == [0, 1, 10, 100]
+    kept, held = [], None
+    for k in range(len(asked)):  # row by row gives the same
+        found, held = step(asked.iloc[[k]], held)
+        kept += found["t"].tolist()
+    assert kept == [0, 1, 10, 100]
+
+
+def test_gate_hold_drifts_and_lets_go():
+    t = [0, 2, 4, 6, 13, 15]
+    far = pd.DataFrame({"t": t, "lat": [35.0] * 6, "lon": [-80.0, -79.0, -79.0, -79.0, -79.0, -79.0], "vel_east": 0.0, "vel_north": 100.0, "rms_delay": 0.0})
+    found, held = state.gate_hold("t")(far, None)
+    assert found["held"].tolist() == [False, True, True, True, False, False]
+    assert found["lat"].tolist() == pytest.approx([35.0, 35.0, 35.0 + 200 / (geo.KM_PER_DEG * 1000), 35.0 + 400 / (geo.KM_PER_DEG * 1000), 35.0, 35.0], abs=1e-6)
+    assert found["jumped"].tolist() == [False, False, False, False, True, False] and found["arc"].all()
+    bad, _ = state.gate_hold("t")(far.assign(lon=-80.0, rms_delay=[0, 9, 0, 0, 0, 0]), None)
+    assert bad["arc"].tolist() == [True, False, True, True, True, True]
+    empty, again = state.gate_hold("t")(far.iloc[:0], held)
+    assert len(empty) == 0 and again == held
