@@ -29,13 +29,16 @@ def at_rank(values: Column, share: float | None) -> Column:
     return F.get(values, (F.floor(n / 2) if share is None else F.floor(F.lit(share) * (n - 1))).cast("int"))
 
 
-def ranked(df: DataFrame, by: list[str], value: str, share: float = 0.9) -> DataFrame:
-    """The median and the share by whole positions, without gathering a group's values: positions are counted by a window over the grouped counts of equal values."""
+def ranked(df: DataFrame, by: list[str], value: str, share: float = 0.9, of_all: bool = False) -> DataFrame:
+    """The median and the share by whole positions, without gathering a group's values: positions are counted by a window over the grouped counts of equal values.
+
+    The share's position is int(share * (n - 1)), or int(share * n) with ``of_all``.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
     line = Window.partitionBy(*by).orderBy(value)
     seen = counts.withColumn("upto", F.sum("count").over(line)).withColumn("n", F.sum("count").over(Window.partitionBy(*by)))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
-    return seen.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(share) * (F.col("n") - 1))).alias("p90"))
+    return seen.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(share) * (F.col("n") - (0 if of_all else 1)))).alias("p90"))
 
 
 def funnel(records: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, coverage, fleet
+from . import accuracy, coverage, fleet, reports
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return accuracy.QUERIES | coverage.QUERIES | fleet.QUERIES
+    return accuracy.QUERIES | coverage.QUERIES | fleet.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return accuracy.SQL | coverage.SQL | fleet.SQL
+    return accuracy.SQL | coverage.SQL | fleet.SQL | reports.SQL

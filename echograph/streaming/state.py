@@ -79,6 +79,56 @@ def moved(least: float = 5e-5) -> Step:
     return step
 
 
+def moved_metres(least: float = 100.0) -> Step:
+    """Rows that lie ``least`` metres or more from the last one kept. State: (lat, lon)."""
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at, keep = state, []
+        for a, o in zip(rows["lat"], rows["lon"]):
+            ok = at is None or _metres(at[0], at[1], a, o) >= least
+            at = (float(a), float(o)) if ok else at
+            keep.append(ok)
+        return rows[keep], at
+
+    return step
+
+
+def sliding_limit(at: str, most: int, seconds: float) -> Step:
+    """Requests that find fewer than ``most`` accepted ones less than ``seconds`` old. State: (times of the recent ones,), ``most`` at most."""
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        recent, keep = (list(state[0]) if state else []), []
+        for t in rows[at].astype(float):
+            recent = [u for u in recent if t - u < seconds]
+            ok = len(recent) < most
+            recent += [t] * ok
+            keep.append(ok)
+        return rows[keep], (recent,)
+
+    return step
+
+
+SLIDING_LIMIT_STATE = "recent array<double>"
+
+
+def changed_digest(at: str, digest: str, every_s: float = 150.0) -> Step:
+    """Rows at which a check finds another digest than the check before; rows less than ``every_s`` after a check aren't looked at.
+
+    The first row counts as a change. State: (time of the last check, its digest).
+    """
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        checked, known = state if state else (-math.inf, None)
+        keep = []
+        for t, d in zip(rows[at].astype(float), rows[digest]):
+            due = t - checked >= every_s
+            keep.append(due and d != known)
+            checked, known = (t, d) if due else (checked, known)
+        return rows[keep], (checked, known)
+
+    return step
+
+
 def windowed_limits(at: str, limits: list[tuple[int, int]]) -> Step:
     """The requests that every (most, seconds) limit has room for; windows are aligned to multiples of their length.
 

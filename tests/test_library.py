@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from echograph.functions import geo, radio
-from echograph.operators import feed, joins, towers
+from echograph.operators import feed, joins, reports, towers
 from echograph.plans import catalog
 from echograph.sources import archive
 from echograph.streaming import state
@@ -166,3 +166,28 @@ def test_gate_hold_drifts_and_lets_go():
     assert bad["arc"].tolist() == [True, False, True, True, True, True]
     empty, again = state.gate_hold("t")(far.iloc[:0], held)
     assert len(empty) == 0 and again == held
+
+
+def test_reports_over_nothing_and_nulls(spark):
+    empty = spark.createDataFrame([], "key long, n_nodes long, object long")
+    assert reports.ghost_rates(empty).first().asDict() == {"solves": 0, "ghosts": 0, "ghost_pct": 0.0, "tracks": 0, "ghost_tracks": 0, "track_ghost_pct": 0.0, "n2_tracks": 0, "n2_ghost_pct": 0.0, "keys_per_object": 0.0}
+    pairs = spark.createDataFrame([], "east double, north double, true_east double, true_north double")
+    assert reports.velocity_accuracy(pairs, spark.range(1).select(F.lit(1.0).alias("truth_max"))).first().n_matched == 0
+    fixes = spark.createDataFrame([(1, 1, 0.0, 34.0, -82.0), (1, 2, 10.0, None, None), (2, 3, 5.0, 34.0, -82.0)], "hex long, seq long, at_s double, lat double, lon double")
+    assert [(r.gs_knots, r.track_deg) for r in reports.last_motion(fixes.where("hex = 2"), "hex", "at_s").collect()] == [(0.0, 0.0)]
+    assert {r.seq: r.trail for r in reports.leap_segments(fixes, "hex", "at_s").collect()} == {1: 0, 2: 0, 3: 0}
+    files = spark.createDataFrame([("a", 10), (None, 5), ("b", None)], "node_id string, bytes long")
+    seen = spark.createDataFrame([("a", None), ("b", 0)], "node_id string, first_seen_s long")
+    assert {r.node_id: r.bytes_per_day for r in reports.storage_by_node(files, seen, "node_id", 86400).collect()} == {"a": None, None: None, "b": None}
+
+
+def test_superseded_skips_rows_of_the_same_key(spark):
+    uses = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x"), ("b", 4, None), ("c", 5, "y")], "key string, seq long, source string")
+    assert {(r.key, r.seq, r.superseded_by) for r in reports.superseded(uses.where("source is not null"), "key", "seq", "source").collect()} == {("a", 1, 3), ("a", 2, 3)}
+
+
+def test_sliding_limit_carries_its_state():
+    step, t = state.sliding_limit("at_s", 2, 10.0), pd.DataFrame({"at_s": [0.0, 1, 5, 10, 10.5, 11], "seq": range(6)})
+    whole, _ = step(t, None)
+    first, held = step(t.iloc[:3], None)
+    assert list(whole["seq"]) == list(first["seq"]) + list(step(t.iloc[3:], held)[0]["seq"]) == [0, 1, 3, 5]
