@@ -20,7 +20,11 @@ Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
 
 def over_stream(df: DataFrame, key: str, at: str, step: Step, out: str, state: str, ttl_s: int = 600) -> DataFrame:
-    """The step over a stream; rows of a micro-batch are put in time order within their key."""
+    """The step over a stream; rows of a micro-batch are put in time order within their key.
+
+    State ends by processing time, for which Spark asks for one batch after another without data. A run that is to end
+    (trigger availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled=false.
+    """
 
     def run(_key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:

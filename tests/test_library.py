@@ -12,6 +12,7 @@ import pytest
 from echograph.functions import geo, radio
 from echograph.operators import feed, joins, reports, towers
 from echograph.plans import catalog
+from echograph.plans import surrogates as su
 from echograph.sources import archive
 from echograph.streaming import state
 from pyspark.sql import Window
@@ -93,6 +94,7 @@ def test_frames_and_archive(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").alias("seq"), F.col("user_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at_s"))
     third = src.withColumn("k", F.ntile(3).over(Window.orderBy("at_s", "seq")))
@@ -102,7 +104,7 @@ def test_stream_equals_batch(spark, tmp_path):
     step = state.throttle("at_s", 3600.0)
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = state.over_stream(stream, "user_id", "at_s", step, out, "last double").writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r.seq for r in spark.table("throttled").collect()}
     assert got == {r.seq for r in state.over_batch(src, "user_id", "at_s", step, out).collect()} and got
     last, want = {}, set()
@@ -113,6 +115,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+STEPS = {
+    "windowed": (state.windowed_limits("at_s", [(1, 3600), (2, 86400)]), state.WINDOWED_LIMITS_STATE, ""),
+    "sliding": (state.sliding_limit("at_s", 3, 86400.0), state.SLIDING_LIMIT_STATE, ""),
+    "arc": (state.moved_metres(20_000.0), "lat double, lon double", ""),
+    "digest": (state.changed_digest("at_s", "kind", 3600.0), "checked double, known string", ""),
+    "hold": (state.gate_hold("at_s"), state.GATE_HOLD_STATE, ", held boolean, arc boolean, jumped boolean"),
+    "smooth": (state.smoother("at_s"), state.SMOOTHER_STATE, ", smoothed boolean"),
+}
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_each_step_over_a_stream_equals_its_batch(spark, tmp_path, name):
+    """State that was written and read again between micro-batches gives the rows that one pass gives."""
+    step, held, more = STEPS[name]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    k, none = F.col("seq"), F.lit(None).cast("double")
+    src = su.events(spark, SF).select("hex", "seq", F.col("at_s").cast("double").alias("at_s"), "lat", "lon", "kind", (k % 200 - 100).cast("double").alias("vel_east"), (k % 130 - 60).cast("double").alias("vel_north"), (k % 11).cast("double").alias("rms_delay"), none.alias("gs_kt"), none.alias("track_deg"))
+    if name in ("hold", "smooth"):
+        src = src.withColumns({"at_s": F.floor(F.col("at_s") / 600), "hex": F.col("hex") % 4}).withColumn("at_s", F.col("at_s").cast("double"))
+    third = src.withColumn("k", F.ntile(3).over(Window.orderBy("at_s", "seq"))).cache()
+    for n in range(3):
+        third.where(F.col("k") == n + 1).drop("k").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    out = src.schema.simpleString()[7:-1].replace(":", " ") + more
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = state.over_stream(stream, "hex", "at_s", step, out, held).writeStream.format("memory").queryName(f"step_{name}").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got, want = rows(spark.table(f"step_{name}").toPandas()), rows(state.over_batch(src, "hex", "at_s", step, out).toPandas())
+    assert got == want and got
+
+
 def test_smoother_beats_raw_positions():
     rng, raw, smooth = np.random.default_rng(3), [], []
     for _ in range(16):
