@@ -119,6 +119,8 @@ STEPS = {
     "windowed": (state.windowed_limits("at_s", [(1, 3600), (2, 86400)]), state.WINDOWED_LIMITS_STATE, ""),
     "sliding": (state.sliding_limit("at_s", 3, 86400.0), state.SLIDING_LIMIT_STATE, ""),
     "arc": (state.moved_metres(20_000.0), "lat double, lon double", ""),
+    "moved": (state.moved(0.3), "lat double, lon double", ""),
+    "turned": (state.turned_on("flag"), "flag boolean", ""),
     "digest": (state.changed_digest("at_s", "kind", 3600.0), "checked double, known string", ""),
     "hold": (state.gate_hold("at_s"), state.GATE_HOLD_STATE, ", held boolean, arc boolean, jumped boolean"),
     "smooth": (state.smoother("at_s"), state.SMOOTHER_STATE, ", smoothed boolean"),
@@ -132,7 +134,7 @@ def test_each_step_over_a_stream_equals_its_batch(spark, tmp_path, name):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     k, none = F.col("seq"), F.lit(None).cast("double")
-    src = su.events(spark, SF).select("hex", "seq", F.col("at_s").cast("double").alias("at_s"), "lat", "lon", "kind", (k % 200 - 100).cast("double").alias("vel_east"), (k % 130 - 60).cast("double").alias("vel_north"), (k % 11).cast("double").alias("rms_delay"), none.alias("gs_kt"), none.alias("track_deg"))
+    src = su.events(spark, SF).select("hex", "seq", F.col("at_s").cast("double").alias("at_s"), "lat", "lon", "kind", (k % 200 - 100).cast("double").alias("vel_east"), (k % 130 - 60).cast("double").alias("vel_north"), (k % 11).cast("double").alias("rms_delay"), none.alias("gs_kt"), none.alias("track_deg"), (k % 3 == 0).alias("flag"))
     if name in ("hold", "smooth"):
         src = src.withColumns({"at_s": F.floor(F.col("at_s") / 600), "hex": F.col("hex") % 4}).withColumn("at_s", F.col("at_s").cast("double"))
     third = src.withColumn("k", F.ntile(3).over(Window.orderBy("at_s", "seq"))).cache()
