@@ -37,20 +37,33 @@ def _read(text: str):
     return raw, starts, ends, sums, chosen, cut
 
 
+def _inner(sums: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """For each run, whether LEAST words stand in it twice (its text has a period of up to WINDOW words)."""
+    first = np.arange(cut[-1])
+    hashes = spans(sums, first, first + LEAST)
+    ordered, out = np.sort(hashes), np.zeros(len(cut) - 1, bool)
+    if (ordered[1:] == ordered[:-1]).any():
+        run = np.repeat(np.arange(len(out)), np.diff(cut))
+        order = np.lexsort((hashes, run))
+        hashes, run = hashes[order], run[order]
+        out[run[1:][(hashes[1:] == hashes[:-1]) & (run[1:] == run[:-1])]] = True
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix kept: its minimiser, a hash of all the words that it is chosen for, and where these stand."""
+    """A row for each suffix kept: its minimiser, a hash of all the words that it is chosen for, where these stand, and whether they repeat within."""
     for batch in slices(batches, "text"):
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
         for key, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()):
             if text is None or (got := _read(text)) is None:
                 continue
             raw, starts, ends, sums, chosen, cut = got
             a, b = cut[:-1], cut[1:] - 1 + LEAST  # words a to b-1
             at = points(raw)
-            for k, x in enumerate((chosen[a].view(np.int64), spans(sums, a, b).view(np.int64), np.full(len(a), key), a.astype(np.int32), (cut[1:] - a).astype(np.int32), at[starts[a]], at[ends[b - 1]])):
+            for k, x in enumerate((chosen[a].view(np.int64), spans(sums, a, b).view(np.int64), np.full(len(a), key), a.astype(np.int32), (cut[1:] - a).astype(np.int32), at[starts[a]], at[ends[b - 1]], _inner(sums, cut))):
                 parts[k].append(x)
         if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["gram", "context", "id", "word", "windows", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["gram", "context", "id", "word", "windows", "start", "end", "inner"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,30 +103,32 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     Runs are sorted by suffix (in the shuffle) and compared with their equals: suffixes that stand
     alone end here; runs equal in all their words are joined and counted as a whole; of the rest,
     one of each kind is compared window by window, which extends the match to the left and right
-    of the suffix word by word. Each step is a partial aggregation, so a passage that a third of
+    of the suffix word by word. A run that holds a window twice (a text with a period of up to
+    WINDOW words has one suffix throughout) is kept even alone, and one of its kind is compared
+    window by window too. Each step is a partial aggregation, so a passage that a third of
     all documents hold is no single task's work.
     """
     tables = Tables(spark)
     docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = tables.cut(docs.mapInArrow(_runs, "gram long, context long, id long, word int, windows int, start long, end long").where("id is not null"))
+    runs = tables.cut(docs.mapInArrow(_runs, "gram long, context long, id long, word int, windows int, start long, end long, inner boolean").where("id is not null"))
     # what is counted by key is written before it is joined back: then both sides are dealt for the join, and Spark can split a frequent key
-    shared = tables.cut(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    shared = tables.cut(runs.groupBy("gram").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("gram"))
     near = tables.cut(runs.join(shared, "gram"))
     tables.drop(runs, shared)
     place = F.struct("id", "word", "windows", "start", "end")
-    kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "word")).alias("last")))
-    many = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "word")).alias("last"), F.max("inner").alias("inner")))
+    many = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("gram"))
     copied = kinds.where("first.id != last.id or first.word != last.word")
     whole = near.join(copied.select("gram", "context", "first"), ["gram", "context"])
     later = F.struct("id", "word") != F.struct("first.id", "first.word")
     # equal runs: all places, and all but the first
     pieces = whole.select("id", "start", "end", later.alias("again"))
-    # runs that share a suffix and differ elsewhere: one of each kind, window by window
+    # runs that share a suffix and differ elsewhere, or repeat within: one of each kind, window by window
     open_runs = kinds.join(many, "gram").select("first.*").groupBy("id").agg(F.collect_list(F.struct("word", "windows")).alias("runs"))
     wins = tables.cut(docs.join(open_runs, "id").select("id", "text", "runs").mapInArrow(_windows, "gram long, hash long, id long, word int, start long, end long"))
     equal = tables.cut(wins.groupBy("gram", "hash").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last")).where("first != last").select("gram", "hash", "first"))
     pieces = pieces.unionByName(wins.join(equal, ["gram", "hash"]).select("id", "start", "end", (F.struct("id", "word") != F.col("first")).alias("again")))
-    # a later run repeats the first of its kind; whether the first itself repeats another kind is told by its windows
+    # a later run repeats the first of its kind; whether the first itself repeats another kind or its own words is told by its windows
     return _merge(pieces)
 
 
@@ -150,7 +165,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the passages that an earlier document or place holds too; all columns stay.
 
-    Every passage stays at its first place. Documents of which no word is left go; documents that
+    Every passage stays at its first place; of words that repeat with a period shorter than a
+    passage one period stays. Documents of which no word is left go; documents that
     had no word before stay as they are. An n_chars column is set to the new length.
     """
     again = passages(spark, docs, id_col, text_col).where("again").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))

@@ -316,6 +316,14 @@ def test_passages_brute_force(spark, seed):
     assert got == plain_passages(texts)
 
 
+@pytest.mark.parametrize("period", [1, 3, 26, 27])
+def test_repeats_inside_one_run(spark, period):
+    unit = " ".join(f"q{k}" for k in range(period)) + " "
+    for texts in ([unit * 120], [unit * 120] * 2, ["own words " + unit * 120 + "end", unit * 90, unit * 90], [f"{unit * 120}b{k}" for k in range(2)]):
+        got = {(r.id, r.start, r.end, r.again) for r in repeats.passages(spark, frame(spark, texts)).collect()}
+        assert got == plain_passages(texts) and any(again and k == 0 for k, _, _, again in got)
+
+
 def test_cut_repeats(spark):
     shared, rng = " ".join(f"s{k}" for k in range(70)), random.Random(4)
     own = [" ".join(f"d{k}x{rng.randrange(9999)}" for _ in range(40)) for k in range(3)]
