@@ -1,17 +1,17 @@
-"""Shared pieces: tables in the cluster's shared folder, connected components, word positions and hashes."""
+"""Shared pieces: word positions and hashes; tables and connected components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from echograph.operators.links import Tables, components, shared_dir  # noqa: F401
+
 # Each of the 64-bit hashes below is a polynomial in this odd base modulo 2**64, then mixed.
 BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, dtype=bool)
@@ -20,41 +20,6 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="echograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Tables:
-    """Written tables that cut lineage: a lost executor costs the reading task only.
-
-    ``cut`` writes a frame as Parquet into the shared folder and reads it back; ``drop`` removes
-    tables that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/echograph-{uuid.uuid4().hex}", {}
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{len(self.paths)}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path, _ = self.paths.pop(id(df), (None, None))
-            if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-                self.paths[path] = (None, None)
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text is a multiple of 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -73,36 +38,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
                 yield batch.slice(a, b - a)
 
 
-def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFrame:
-    """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
-
-    Each round sends every vertex to the neighbour (or itself) that is first in a hashed order,
-    and contracts the edges; the edges shrink by a constant factor a round, long chains included.
-    No vertex's neighbours meet in one task: the rounds are partial aggregations and joins.
-    Loops count for nothing and repeated edges as one; an empty table gives an empty result.
-    """
-    left = tables.cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    root, step = None, 0
-    while not left.isEmpty():
-        ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(step // 3)).alias("o"), F.col(c).alias("v"))
-        to = tables.cut(ends.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a")))["v"].alias("to")))
-        pa_, pb = to.withColumnsRenamed({"a": "a", "to": "ta"}), to.withColumnsRenamed({"a": "b", "to": "tb"})
-        after = tables.cut(left.join(pa_, "a").join(pb, "b").where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        if root is None:
-            root = to.select(F.col("a").alias("id"), F.col("to").alias("root"))
-        else:
-            new = tables.cut(root.join(to.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-            tables.drop(root, to)
-            root = new
-        tables.drop(left)
-        left, step = after, step + 1
-    if root is None:
-        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    least = tables.cut(root.groupBy("root").agg(F.min("id").alias("component")))
-    return root.join(least, "root").select("id", "component")
-
-
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

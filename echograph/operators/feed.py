@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echograph.functions import geo
 
+from .links import Tables, components
+
 # Which source's row stands for an aircraft, best first, and how near two rows of one aircraft are.
 SOURCES = ("multinode_solve", "solver_adsb_seed", "solver_single_node", "single_node_ellipse_arc")
 NEAR_KM, NEAR_FT = 3.0, 2000.0
@@ -17,49 +20,78 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(*[F.when(source == s, k) for k, s in enumerate(SOURCES)], F.lit(99))
 
 
-def by_truth(feed: DataFrame) -> DataFrame:
-    """Rows that share a truth id as one: the best source's (of equal ones the first by seq), with the nodes of all."""
-    best = feed.where("truth is not null").groupBy("truth").agg(
-        F.min(F.struct(source_rank(F.col("source")).alias("r"), "seq", *[c for c in feed.columns if c not in ("truth", "seq", "nodes")])).alias("b"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes")))).alias("nodes"),
-    )
-    return best.select(*[F.col("b." + c).alias(c) if c not in ("truth", "nodes") else F.col(c) for c in feed.columns])
+def _best(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each group (_g) the best source's row, of equal ones the first by seq, with the nodes of all."""
+    rank = F.struct(source_rank(F.col("source")), "seq", "_row")
+    best = rows.groupBy("_g").agg(F.min_by(F.struct(*[c for c in columns if c != "nodes"]), rank).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes")))).alias("nodes"))
+    return best.select(*[F.col("b." + c).alias(c) if c != "nodes" else F.col(c) for c in columns])
+
+
+def _claim(rows: pd.DataFrame) -> pd.DataFrame:
+    """(_row, _g) of the rows that aren't fixed heads. Heads are kept by cubes of NEAR_KM, so that a row asks those around it only."""
+    rows = rows.sort_values(["seq", "_row"])
+    lat, lon = np.radians(rows.lat.to_numpy()), np.radians(rows.lon.to_numpy())
+    cubes = np.floor(np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1) * (geo.RADIUS_KM / NEAR_KM)).astype(int).tolist()
+    heads: dict[tuple, list[int]] = {}
+    of, row, fixed, alt = [], rows._row.tolist(), rows.fixed.tolist(), rows.alt_ft.to_numpy(dtype=float, na_value=np.nan)
+    for n, (x, y, z) in enumerate(cubes):
+        found = None
+        if not fixed[n]:
+            near = np.array(sorted(h for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1) for h in heads.get((x + i, y + j, z + m), ())), dtype=int)
+            a = np.sin((lat[n] - lat[near]) / 2) ** 2 + np.cos(lat[n]) * np.cos(lat[near]) * np.sin((lon[n] - lon[near]) / 2) ** 2
+            near = near[(2 * geo.RADIUS_KM * np.arcsin(np.sqrt(a)) <= NEAR_KM) & ~(np.abs(alt[n] - alt[near]) > NEAR_FT)]
+            found = near[0] if len(near) else None
+        if found is None:
+            heads.setdefault((x, y, z), []).append(n)
+        of.append(row[n if found is None else found])
+    return pd.DataFrame({"_row": row, "_g": of})[~np.array(fixed, dtype=bool)]
+
+
+def _grouped(feed: DataFrame) -> DataFrame:
+    """The rows with _row, a key of their own, and _g, the key of their group's head.
+
+    Rows that share a truth id are a group, whose head is the first by seq. Each other row, in
+    order of seq, joins the first group whose head came before it and is near, else heads a new
+    one; a row without a place is a group alone. The order decides, but only among rows that
+    touch: cubes of NEAR_KM beside each other are linked, and a task holds the rows of linked
+    cubes, so no border cuts a group and no pairs of rows are made.
+    """
+    tables = Tables(feed.sparkSession)
+    rows = tables.cut(feed.withColumn("_row", F.monotonically_increasing_id()))
+    named, loose = rows.where("truth is not null"), rows.where("truth is null")
+    place = ["seq", "_row", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("alt_ft").cast("double").alias("alt_ft")]
+    first = named.groupBy("truth").agg(F.min(F.struct(*place)).alias("h"))
+    spots = first.select("h.*", F.lit(True).alias("fixed")).unionByName(loose.select(*place, F.lit(False).alias("fixed")))
+    spots = spots.where(geo.finite(F.col("lat")).isNotNull() & geo.finite(F.col("lon")).isNotNull())
+    cube, side = geo.cells(F.col("lat"), F.col("lon"), NEAR_KM), 1 << 13
+    spots = tables.cut(spots.withColumn("_k", ((cube["x"] + side // 2) * side + cube["y"] + side // 2) * side + cube["z"] + side // 2))
+    cubes = spots.select("_k").distinct()
+    beside = [(i * side + j) * side + m for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
+    links = cubes.select(F.col("_k").alias("a"), F.explode(F.array(*[F.col("_k") + F.lit(k) for k in beside])).alias("b")).where("a < b").join(cubes.withColumnRenamed("_k", "b"), "b")
+    linked = components(feed.sparkSession, links, tables).withColumnRenamed("id", "_k")
+    dealt = spots.join(linked, "_k", "left").withColumn("component", F.coalesce("component", "_k"))
+    of = dealt.groupBy("component").applyInPandas(_claim, "_row long, _g long")
+    named = named.join(first.select("truth", F.col("h._row").alias("_g")), "truth").select(*rows.columns, "_g")
+    return named.unionByName(loose.join(of, "_row", "left").select(*rows.columns, F.coalesce("_g", "_row").alias("_g")))
 
 
-def by_nearness(feed: DataFrame, cell_km: float = 100.0) -> DataFrame:
-    """Rows without a truth id: each, in order of seq, joins the first group whose head is near, else heads a new one.
+def by_truth(feed: DataFrame) -> DataFrame:
+    """Rows that share a truth id as one: the best source's (of equal ones the first by seq), with the nodes of all."""
+    rows = feed.where("truth is not null").withColumn("_row", F.lit(0))
+    return _best(rows.withColumn("_g", F.col("truth")), feed.columns)
 
-    The order decides, so groups are made cell by cell (``cell_km`` cubes): groups don't cross a
-    cell's border, where two rows of one aircraft may both stay.
-    """
 
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        heads, of = [], []
-        for r in rows.itertuples():
-            for k, h in enumerate(heads):
-                a = np.sin(np.radians(r.lat - h.lat) / 2) ** 2 + np.cos(np.radians(r.lat)) * np.cos(np.radians(h.lat)) * np.sin(np.radians(r.lon - h.lon) / 2) ** 2
-                if 2 * geo.RADIUS_KM * np.arcsin(np.sqrt(a)) <= NEAR_KM and not abs(r.alt_ft - h.alt_ft) > NEAR_FT:
-                    of.append(k)
-                    break
-            else:
-                of.append(len(heads))
-                heads.append(r)
-        rows["_r"] = rows["source"].map({s: k for k, s in enumerate(SOURCES)}).fillna(99)
-        best = rows.assign(_g=of).sort_values(["_g", "_r", "seq"])
-        nodes = best.groupby("_g")["nodes"].agg(lambda x: sorted({n for m in x for n in m}))
-        first = best.groupby("_g").first().assign(nodes=nodes)
-        return first[[c for c in rows.columns if c not in ("_r", "_cx")]]
-
-    rows = feed.where("truth is null").withColumn("_cell", geo.cells(F.col("lat"), F.col("lon"), cell_km))
-    return rows.groupBy("_cell").applyInPandas(lambda pdf: claim(pdf.drop(columns="_cell")), feed.schema)
+def by_nearness(feed: DataFrame) -> DataFrame:
+    """Rows without a truth id: each, in order of seq, joins the first group whose head is near, else heads a new one."""
+    return _best(_grouped(feed.where("truth is null")), feed.columns)
 
 
 def dedup(feed: DataFrame) -> DataFrame:
-    """Feed rows (seq, truth, source, lat, lon, alt_ft, nodes and others) with one row an aircraft."""
-    return by_truth(feed).unionByName(by_nearness(feed))
+    """Feed rows (seq, truth, source, lat, lon, alt_ft, nodes and others) with one row an aircraft.
+
+    A row without a truth id joins a group of a truth id too, if that group's first row is near.
+    """
+    return _best(_grouped(feed), feed.columns)
 
 
 def in_scope(nodes: list[str]) -> Column:

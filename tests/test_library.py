@@ -179,6 +179,45 @@ def test_feed_dedup(spark):
     assert got == {"b": ["n1", "n2"], "d": ["n3", "n4"], "e": ["n5"]}
 
 
+def plain_dedup(rows):
+    """The greedy rule over the whole feed: {(seq of the survivor, nodes)}."""
+    groups, by_truth = [], {}
+    for r in sorted(rows):
+        seq, truth, _, lat, lon, alt, _ = r
+        home = by_truth.get(truth) if truth else None
+        if not truth and lat is not None:
+            for g in groups:
+                _, _, _, la, lo, al, _ = g[0]
+                if la is not None:
+                    a = math.sin(math.radians(lat - la) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(la)) * math.sin(math.radians(lon - lo) / 2) ** 2
+                    if 2 * geo.RADIUS_KM * math.asin(math.sqrt(a)) <= feed.NEAR_KM and (alt is None or al is None or abs(alt - al) <= feed.NEAR_FT):
+                        home = g
+                        break
+        if home is None:
+            groups.append(home := [])
+            if truth:
+                by_truth[truth] = home
+        home.append(r)
+    rank = {s: k for k, s in enumerate(feed.SOURCES)}
+    return {(min(g, key=lambda r: (rank.get(r[2], 99), r[0]))[0], tuple(sorted({n for r in g for n in r[6]}))) for g in groups}
+
+
+def test_feed_dedup_over_the_whole_feed(spark):
+    cols = "seq long, truth string, source string, lat double, lon double, alt_ft double, nodes array<string>"
+    border = math.degrees(math.asin(3600 / geo.RADIUS_KM))  # of 100 km cubes
+    two = [(k, None, "multinode_solve", border + d, -82.0, 100.0, [f"n{k}"]) for k, d in enumerate((-0.005, 0.005))]
+    assert [(r.seq, r.nodes) for r in feed.by_nearness(spark.createDataFrame(two, cols)).collect()] == [(0, ["n0", "n1"])]
+    rng, rows = random.Random(8), []
+    for k in range(500):
+        lat, lon = rng.choice([(border, -82.0), (0.0, 179.99), (89.9, 10.0)])
+        lat, lon = lat + rng.uniform(-0.08, 0.08), lon + rng.uniform(-0.2, 0.2)
+        place = (None, None) if rng.random() < 0.05 else (lat, lon if lon < 180 else lon - 360)
+        rows.append((k, f"T{rng.randrange(20)}" if rng.random() < 0.1 else None, rng.choice([*feed.SOURCES, "other"]), *place, rng.choice([None, 1000.0, 2500.0, 4000.0]), [f"n{rng.randrange(30)}"]))
+    got = [(r.seq, tuple(r.nodes)) for r in feed.dedup(spark.createDataFrame(rows, cols).repartition(7)).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_dedup(rows) and len(got) < 400
+    assert feed.dedup(spark.createDataFrame([], cols)).collect() == []
+
+
 def test_windowed_limits_spend_nothing_on_a_refusal():
     step = state.windowed_limits("t", [(2, 10), (3, 100)])
     asked = pd.DataFrame({"t": [0, 1, 2, 10, 11, 20, 100]})
