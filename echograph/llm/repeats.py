@@ -1,4 +1,4 @@
-"""Passages that repeat across the corpus: sparse suffixes at minimiser positions."""
+"""Passages that repeat across the corpus: sparse suffixes at minimisers, sorted, compared with their neighbours and extended."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, mix, points, slices, spans, sums_of, words
@@ -14,152 +14,240 @@ from .common import Tables, mix, points, slices, spans, sums_of, words
 #: A passage counts from LEAST words on; GRAM words are hashed for the choice of suffixes, one at least in every WINDOW.
 LEAST, GRAM = 50, 25
 WINDOW = LEAST - GRAM + 1
+#: Rows that one task compares at a time.
+ROWS = 4096
+#: Suffixes of one task when they are sorted.
+PER_TASK = 100_000
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each run of ``width`` neighbours."""
-    size, out = 1, values
+def _least_at(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each run of ``width`` neighbours stands, the leftmost of equal ones."""
+    at, size = np.arange(len(values)), 1
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
     while size * 2 <= width:
-        out, size = np.minimum(out[:-size], out[size:]), size * 2
-    return np.minimum(out[: len(values) - width + 1], out[width - size :][: len(values) - width + 1]) if width > size else out
-
-
-def _read(text: str):
-    """The text's words and, for each place where LEAST words begin, the minimiser of those words."""
-    raw = text.encode("utf-8", "surrogatepass")
-    starts, ends, hashes = words(raw)
-    if len(hashes) < LEAST:
-        return None
-    sums = sums_of(hashes)
-    first = np.arange(len(hashes) - GRAM + 1)
-    chosen = _least(mix(spans(sums, first, first + GRAM)), WINDOW)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1, [len(chosen)]])
-    return raw, starts, ends, sums, chosen, cut
-
-
-def _inner(sums: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """For each run, whether LEAST words stand in it twice (its text has a period of up to WINDOW words)."""
-    first = np.arange(cut[-1])
-    hashes = spans(sums, first, first + LEAST)
-    ordered, out = np.sort(hashes), np.zeros(len(cut) - 1, bool)
-    if (ordered[1:] == ordered[:-1]).any():
-        run = np.repeat(np.arange(len(out)), np.diff(cut))
-        order = np.lexsort((hashes, run))
-        hashes, run = hashes[order], run[order]
-        out[run[1:][(hashes[1:] == hashes[:-1]) & (run[1:] == run[:-1])]] = True
-    return out
+        at, size = less(at[:-size], at[size:]), size * 2
+    n = len(values) - width + 1
+    return less(at[:n], at[width - size :][:n])
+
+
+class Read:
+    """A text's words, and the suffixes that are kept of it.
+
+    Each LEAST words choose the suffix that begins with the least of their GRAM-word grams (by
+    hash, the leftmost of equal ones): equal passages choose equal suffixes. The
+    suffix at word at[k] is chosen by the passages that begin at words first[k] to first[k + 1] - 1.
+    """
+
+    def __init__(self, text: str):
+        self.raw = text.encode("utf-8", "surrogatepass")
+        self.starts, self.ends, hashes = words(self.raw)
+        self.sums = sums_of(hashes)
+        if len(hashes) < LEAST:
+            self.grams, self.at, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+            return
+        place = np.arange(len(hashes) - GRAM + 1)
+        values = mix(spans(self.sums, place, place + GRAM))
+        at = _least_at(values, WINDOW)
+        cut = np.flatnonzero(np.diff(at)) + 1
+        self.first = np.concatenate([[0], cut, [len(at)]])
+        self.at = at[self.first[:-1]]
+        self.grams = values[self.at]
 
+    def bytes_of(self, a: int, b: int) -> bytes:
+        """Words a to b - 1, each with a space behind it."""
+        return b"".join(self.raw[s:e] + b" " for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist()))
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix kept: its minimiser, a hash of all the words that it is chosen for, where these stand, and whether they repeat within."""
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each suffix kept: a hash of its first GRAM words, a hash of all the words that it is chosen for, and where these stand."""
     for batch in slices(batches, "text"):
         parts: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for key, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()):
-            if text is None or (got := _read(text)) is None:
+        for key, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            got = Read(text)
+            n = len(got.at)
+            if not n:
                 continue
-            raw, starts, ends, sums, chosen, cut = got
-            a, b = cut[:-1], cut[1:] - 1 + LEAST  # words a to b-1
-            at = points(raw)
-            for k, x in enumerate((chosen[a].view(np.int64), spans(sums, a, b).view(np.int64), np.full(len(a), key), a.astype(np.int32), (cut[1:] - a).astype(np.int32), at[starts[a]], at[ends[b - 1]], _inner(sums, cut))):
+            a, b = got.first[:-1], got.first[1:] - 1 + LEAST  # words a to b-1
+            at = points(got.raw)
+            for k, x in enumerate((got.grams.view(np.int64), spans(got.sums, a, b).view(np.int64), np.full(n, key), np.full(n, mark), a.astype(np.int32), (b - a - LEAST + 1).astype(np.int32), at[got.starts[a]], at[got.ends[b - 1]])):
                 parts[k].append(x)
         if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["gram", "context", "id", "word", "windows", "start", "end", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["gram", "context", "id", "mark", "word", "windows", "start", "end"])
+
 
+_SUFFIX = "gram long, context long, id long, mark long, word int, windows int, start long, end long"
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each LEAST words that begin in the runs listed: hash and place."""
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes listed, spelled out: LEAST words from the suffix on, the words left of it in backward order, and the passages that chose it."""
     for batch in slices(batches, "text"):
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for key, text, runs in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw, starts, ends, sums, chosen, _ = _read(text)
-            at = points(raw)
-            first = np.concatenate([np.arange(r["word"], r["word"] + r["windows"]) for r in runs])
-            for k, x in enumerate((chosen[first].view(np.int64), spans(sums, first, first + LEAST).view(np.int64), np.full(len(first), key), first.astype(np.int32), at[starts[first]], at[ends[first + LEAST - 1]])):
-                parts[k].append(x)
-        if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["gram", "hash", "id", "word", "start", "end"])
+        rows: list[tuple] = []
+        for key, mark, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            got, at = Read(text), None
+            at = points(got.raw)
+            for k in np.flatnonzero(np.isin(got.first[:-1], wanted)).tolist():
+                p, a, b = int(got.at[k]), int(got.first[k]), int(got.first[k + 1])
+                here = np.arange(a, b)
+                left = b"".join(got.bytes_of(j, j + 1) for j in range(p - 1, a - 1, -1))
+                hashes = spans(got.sums, here, here + LEAST).view(np.int64)
+                rows.append((got.bytes_of(p, p + LEAST), left, int(got.grams[k].view(np.int64)), key, mark, p, a, hashes.tolist(), at[got.starts[here]].tolist(), at[got.ends[here + LEAST - 1]].tolist()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.binary(), pa.binary(), *[pa.int64()] * 3, pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3])], ["suffix", "left", "gram", "id", "mark", "at", "word", "hashes", "starts", "ends"])
+
+
+_SPELLED = "suffix binary, left binary, gram long, id long, mark long, at int, word int, hashes array<long>, starts array<long>, ends array<long>"
+
+
+def shared_words(one: bytes, two: bytes) -> int:
+    """How many whole words (each with a space behind it) two suffixes have in common from the front."""
+    n = min(len(one), len(two))
+    a, b = np.frombuffer(one, np.uint8, n), np.frombuffer(two, np.uint8, n)
+    differ = np.flatnonzero(a != b)
+    return one.count(b" ", 0, int(differ[0]) if len(differ) else n)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted suffixes, the passages that can stand elsewhere too, each by its hash and place.
+
+    In sorted order a suffix shares the most words with a neighbour. If it shares r of them,
+    a passage of LEAST words that begins l words left of the suffix can only repeat if
+    LEAST - l <= r: so a match to the right is extended to the left by LEAST - r words at least. The first and the
+    last suffix of a task have a neighbour in another task; they keep all their passages.
+    """
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                yield from batch.slice(k, ROWS).to_pylist()
+
+    def passages() -> Iterator[tuple]:
+        ahead, held = LEAST, None
+        for row in rows():
+            if held is not None:
+                shared = shared_words(held["suffix"], row["suffix"])
+                yield held, max(ahead, shared)
+                ahead = shared
+            held = row
+        if held is not None:
+            yield held, LEAST
+
+    out: list[tuple] = []
+    for row, shared in passages():
+        # passages that begin at row["word"] + k, so row["at"] - row["word"] - k words left of the suffix
+        for k in range(min(len(row["hashes"]), row["at"] - row["word"] - LEAST + shared + 1)):
+            out.append((row["gram"], row["hashes"][k], row["id"], row["mark"], row["word"] + k, row["starts"][k], row["ends"][k]))
+        if len(out) >= 4 * ROWS:
+            yield _passage_rows(out)
+            out = []
+    if out:
+        yield _passage_rows(out)
+
+
+def _passage_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 2])], ["gram", "hash", "id", "mark", "word", "start", "end"])
 
 
 def _merge(found: DataFrame) -> DataFrame:
-    """Neighbouring pieces extend one another to the left and right: (id, start, end, again) of each whole passage."""
-    both = found.select("id", "start", "end", F.explode(F.when(F.col("again"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("again"))
-    line = Window.partitionBy("id", "again").orderBy("start", "end")
+    """Pieces that overlap or touch become one: (id, mark, start, end, again) of each whole passage."""
+    both = found.select("id", "mark", "start", "end", F.explode(F.when(F.col("again"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("again"))
+    line = Window.partitionBy("id", "mark", "again").orderBy("start", "end")
     far = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     marked = both.withColumn("new", (far.isNull() | (F.col("start") > far)).cast("int")).withColumn("part", F.sum("new").over(line))
-    return marked.groupBy("id", "again", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("id", "start", "end", "again")
+    return marked.groupBy("id", "mark", "again", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("id", "mark", "start", "end", "again")
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, again): the passages of LEAST or more words that stand at two places of the corpus or more.
+    """(id, mark, start, end, again): the passages of LEAST or more words that stand at two places of the corpus or more.
 
     Words end at \\x20 and \\x09-\\x0D and are compared as they are. start and end are code
-    points of the text. Rows with again = false cover every repeated passage; rows with again =
-    true cover what is repeated from an earlier place (a smaller id, or further left), which is
-    what a deduplication cuts. Null and shorter texts have none; two rows of one id and text
-    count as one place; an empty table gives an empty result.
-
-    A window of LEAST words holds WINDOW grams; the least of their hashes chooses the suffix that
-    stands for it, so equal windows choose equal suffixes. Windows that share a suffix are one run.
-    Runs are sorted by suffix (in the shuffle) and compared with their equals: suffixes that stand
-    alone end here; runs equal in all their words are joined and counted as a whole; of the rest,
-    one of each kind is compared window by window, which extends the match to the left and right
-    of the suffix word by word. A run that holds a window twice (a text with a period of up to
-    WINDOW words has one suffix throughout) is kept even alone, and one of its kind is compared
-    window by window too. Each step is a partial aggregation, so a passage that a third of
-    all documents hold is no single task's work.
+    points of the text whose id is id and whose xxhash64 is mark. Rows with again = false cover every repeated passage; rows with
+    again = true cover what is repeated from an earlier place (a smaller id; of equal ids a smaller mark; further left in one text),
+    which is what a deduplication cuts. Null and shorter texts have none, nor have rows without an id; rows of one id
+    and text count as one place, and rows of one id with different texts as several; other columns are ignored;
+    an empty table gives an empty result.
+
+    LEAST words hold WINDOW grams; the least of their hashes chooses the suffix that stands for them.
+    Suffixes whose first GRAM words stand nowhere else end here. Those that are equal in all the words
+    that they are chosen for, to the left and the right, are one kind and counted as a whole. Where a gram has several kinds,
+    one suffix of each is spelled out and sorted (by range, ties by the words to the left); each is
+    compared with its neighbours word by word, which says how far it matches to the right, and so
+    how far a match must extend to the left to make a passage. The neighbour in suffix order needn't be the one that matches
+    farthest to the left, so the extension to the left is settled by grouping: passages equal in their gram's hash and their own (two
+    hashes of 64 bits) stand at the same words. Passages that touch become one, whatever their length.
+    Each step is a sort or a partial aggregation, so a passage that a third of all documents hold is no single task's work.
     """
     tables = Tables(spark)
-    docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = tables.cut(docs.mapInArrow(_runs, "gram long, context long, id long, word int, windows int, start long, end long, inner boolean").where("id is not null"))
+    docs = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    runs = tables.cut(docs.mapInArrow(_suffixes, _SUFFIX))
     # what is counted by key is written before it is joined back: then both sides are dealt for the join, and Spark can split a frequent key
-    shared = tables.cut(runs.groupBy("gram").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("gram"))
+    shared = tables.cut(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     near = tables.cut(runs.join(shared, "gram"))
     tables.drop(runs, shared)
-    place = F.struct("id", "word", "windows", "start", "end")
-    kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "word")).alias("last"), F.max("inner").alias("inner")))
-    many = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("gram"))
-    copied = kinds.where("first.id != last.id or first.word != last.word")
-    whole = near.join(copied.select("gram", "context", "first"), ["gram", "context"])
-    later = F.struct("id", "word") != F.struct("first.id", "first.word")
-    # equal runs: all places, and all but the first
-    pieces = whole.select("id", "start", "end", later.alias("again"))
-    # runs that share a suffix and differ elsewhere, or repeat within: one of each kind, window by window
-    open_runs = kinds.join(many, "gram").select("first.*").groupBy("id").agg(F.collect_list(F.struct("word", "windows")).alias("runs"))
-    wins = tables.cut(docs.join(open_runs, "id").select("id", "text", "runs").mapInArrow(_windows, "gram long, hash long, id long, word int, start long, end long"))
-    equal = tables.cut(wins.groupBy("gram", "hash").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last")).where("first != last").select("gram", "hash", "first"))
-    pieces = pieces.unionByName(wins.join(equal, ["gram", "hash"]).select("id", "start", "end", (F.struct("id", "word") != F.col("first")).alias("again")))
-    # a later run repeats the first of its kind; whether the first itself repeats another kind or its own words is told by its windows
-    return _merge(pieces)
+    place = F.struct("id", "mark", "word", "windows", "start", "end")
+    kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "mark", "word")).alias("last")))
+    several = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    copied = kinds.where(F.struct("first.id", "first.mark", "first.word") != F.col("last"))
+    # of equal suffixes: all places, and all but the first
+    later = F.struct("id", "mark", "word") != F.struct("first.id", "first.mark", "first.word")
+    whole = tables.cut(near.join(copied.select("gram", "context", "first"), ["gram", "context"]).select("id", "mark", "start", "end", later.alias("again")))
+    tables.drop(near)
+    # of suffixes that share a gram and differ elsewhere: one of each kind
+    open_kinds = kinds.join(several, "gram").select("first.id", "first.mark", "first.word")
+    wanted = open_kinds.groupBy("id", "mark").agg(F.collect_list("word").alias("wanted"))
+    spelled = tables.cut(docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted").mapInArrow(_spelled, _SPELLED))
+    tables.drop(kinds, several)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-spelled.count() // PER_TASK))
+    found = tables.cut(spelled.repartitionByRange(tasks, "suffix", "left").sortWithinPartitions("suffix", "left").mapInArrow(_extended, "gram long, hash long, id long, mark long, word int, start long, end long"))
+    tables.drop(spelled)
+    at = F.struct("id", "mark", "word")
+    equal = tables.cut(found.groupBy("gram", "hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("gram", "hash", "first"))
+    # a later suffix repeats the first of its kind; whether the first itself repeats another kind is told by its passages
+    pieces = found.join(equal, ["gram", "hash"]).select("id", "mark", "start", "end", (at != F.col("first")).alias("again"))
+    out = tables.cut(_merge(whole.unionByName(pieces)))
+    tables.drop(whole, found, equal)
+    return out
 
 
 def repeated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that holds a repeated passage: id_col, n_passages, n_chars_repeated, n_chars_again, passages.
 
     passages is a list of (start, end); n_chars_again counts the code points that an earlier
-    place has too. Documents without a repeated passage have no row.
+    place has too. Documents without a repeated passage have no row, nor have null texts and rows without an id; rows
+    of one id and text have one row together, those of one id with different texts a row each; an empty
+    table gives an empty result; other columns are ignored.
     """
     found = passages(spark, docs, id_col, text_col)
     size = F.col("end") - F.col("start")
-    return found.groupBy("id").agg(
+    return found.groupBy("id", "mark").agg(
         F.count_if(~F.col("again")).alias("n_passages"),
         F.sum(F.when(~F.col("again"), size).otherwise(0)).alias("n_chars_repeated"),
         F.sum(F.when(F.col("again"), size).otherwise(0)).alias("n_chars_again"),
         F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("start", "end")))).alias("passages"),
-    ).withColumnRenamed("id", id_col)
+    ).drop("mark").withColumnRenamed("id", id_col)
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        texts = []
-        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-            if text is not None and cuts:
-                at, parts = 0, []
-                for c in sorted(cuts, key=lambda c: c["start"]):
-                    parts.append(text[at : c["start"]])
-                    at = c["end"]
-                text = "".join([*parts, text[at:]])
-            texts.append(text)
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+def _without(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            at_text, texts = batch.schema.get_field_index(text_col), []
+            for text, cuts in zip(batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if text is not None and cuts:
+                    at, parts = 0, []
+                    for c in sorted(cuts, key=lambda c: c["start"]):
+                        parts.append(text[at : c["start"]])
+                        at = c["end"]
+                    text = "".join([*parts, text[at:]])
+                texts.append(text)
+            yield batch.set_column(at_text, text_col, pa.array(texts, pa.string()))
+
+    return run
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,13 +255,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Every passage stays at its first place; of words that repeat with a period shorter than a
     passage one period stays. Documents of which no word is left go; documents that
-    had no word before stay as they are. An n_chars column is set to the new length.
+    had no word before stay as they are, and so do rows without an id and null texts. Rows of one id and text are one place
+    and are cut alike; of rows of one id with different texts each is cut by itself. An n_chars column is set to the new length.
+    Columns of any name may be there.
     """
-    again = passages(spark, docs, id_col, text_col).where("again").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    named = docs.withColumnRenamed(text_col, "text")
-    joined = named.join(again, F.col(id_col) == F.col("id"), "left").drop("id")
-    out = joined.mapInArrow(_without, joined.schema)
-    out = out.where(F.col("cuts").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
-    return out.withColumnRenamed("text", text_col).select(*docs.columns)
+    names = docs.columns
+    again = passages(spark, docs, id_col, text_col).where("again").groupBy(F.col("id").alias("_cut_id"), F.col("mark").alias("_cut_mark")).agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
+    joined = docs.join(again, (F.col(id_col) == F.col("_cut_id")) & (_mark(F.col(text_col)) == F.col("_cut_mark")), "left").select(*[docs[c] for c in names], "_cuts")
+    out = joined.mapInArrow(_without(text_col), joined.schema)
+    out = out.where(F.col("_cuts").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
