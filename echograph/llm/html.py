@@ -18,129 +18,226 @@ from .common import slices
 
 #: Labelled pages made for training, and the seed they are made from.
 TRAINING_PAGES, SEED = 600, 11
-# Element kinds of the HTML standard.
+# Element kinds of the HTML standard. What stands in SILENT ones is code, settings or form controls, never text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title head button".split())
+SILENT = frozenset("script style template iframe select textarea title button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _ENDS_P = BLOCK - frozenset("caption dd dt legend li option summary tbody td tfoot th thead tr body html".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: The rest of a tag: a quote opens a value only after =; possessive, so that each character is read once.
+_REST = re.compile(r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_WANTED = re.compile(r"class|id|role|hidden|style", re.I)
+_HIDES = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
 _PARTS = re.compile(r"[a-z]+")
-_ENDING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+_ENDING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in SILENT}
+_RIGHTS = re.compile(r"\b(?:19|20)\d\d\b.{0,80}rights", re.I)
 
 
 @dataclass
 class Block:
-    """A leaf block: its text and the (tag, class words) of the elements around it, outermost first."""
+    """A leaf block: its text, the node it stands in (0 is the page), how many of its characters are in links, its innermost block element, and whether it stands in none at all."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: int
     linked: int = 0
+    near: str = ""
+    bare: bool = False
 
 
-def _attributes(text: str) -> tuple[str, ...]:
-    if "=" not in text and "hidden" not in text:
-        return ()
+@dataclass
+class Page:
+    """The leaf blocks of a page in order, and its elements: of each the one around it and the features that it adds to those around it.
+
+    Elements are shared by the blocks within them, and a feature is told once on the way from the page
+    to a block, so nesting of any depth costs no more than its markup.
+    """
+
+    blocks: list[Block] = field(default_factory=list)
+    above: list[int] = field(default_factory=lambda: [-1])
+    adds: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def __getitem__(self, part: slice) -> Page:
+        return Page(self.blocks[part], self.above, self.adds)
+
+    def around(self, block: Block) -> list[str]:
+        """The features of the elements around a block."""
+        out, node = [], block.node
+        while node >= 0:
+            out += self.adds[node]
+            node = self.above[node]
+        return out
+
+
+def _attributes(text: str) -> list[str]:
+    """The words of class, id and role, and -hidden where the element isn't shown."""
     out: list[str] = []
+    if not _WANTED.search(text):
+        return out
     for m in _ATTRIBUTE.finditer(text):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "style" and _HIDES.search(value):
             out.append("-hidden")
-        elif name != "style":
+        elif name in ("class", "id", "role"):
             out += _PARTS.findall(value)
-    return tuple(out)
+    return out
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; markup that is broken or never closed is taken as browsers mostly do."""
-    page, out, at = page or "", [], 0
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    buffer: list[str] = []
-    linked = 0
+class _Open:
+    """The open elements, with the last place of each name, so that closing one takes no search."""
+
+    def __init__(self, page: Page):
+        self.page, self.stack, self.places, self.seen = page, [(0, "", (), "", True)], {}, {}
+
+    def push(self, name: str, words: list[str]) -> None:
+        own = dict.fromkeys([*([] if name in ("html", "body") else ["a:" + name]), *("c:" + w for w in words)])
+        new = tuple(f for f in own if not self.seen.get(f))
+        for f in own:
+            self.seen[f] = self.seen.get(f, 0) + 1
+        node, _, _, near, bare = self.stack[-1]
+        if new:
+            self.page.above.append(node)
+            self.page.adds.append(new)
+            node = len(self.page.above) - 1
+        self.places.setdefault(name, []).append(len(self.stack))
+        outer = name in ("html", "body")
+        self.stack.append((node, name, tuple(own), name if name in BLOCK and not outer else near, bare and outer))
+
+    def pop(self, name: str, within: tuple[str, ...] = ()) -> None:
+        """Closes the innermost element of that name and what is open in it, unless one of ``within`` stands between."""
+        at = self.last(name)
+        if not at or any(self.last(w) > at for w in within):
+            return
+        for _, n, own, _, _ in self.stack[at:]:
+            self.places[n].pop()
+            for f in own:
+                self.seen[f] -= 1
+        del self.stack[at:]
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+
+def blocks(page: str | None) -> Page:
+    """The leaf blocks of a page in order; markup that is broken or never closed is taken as browsers mostly do. Time follows the page's length."""
+    page, out = page or "", Page()
+    opened, buffer, linked = _Open(out), [], 0
+    gone: set[str] = set()  # silent elements of which no end comes any more
+
+    def text(a: int, b: int) -> None:
+        nonlocal linked
+        if b > a:
+            buffer.append(page[a:b])
+            if opened.last("a"):
+                linked += b - a
 
     def flush() -> None:
         nonlocal linked
         if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            if text:
-                out.append(Block(text, tuple(stack), linked))
+            words = " ".join(entities.unescape("".join(buffer)).split())
+            if words:
+                node, _, _, near, bare = opened.stack[-1]
+                out.blocks.append(Block(words, node, linked, near, bare))
             buffer.clear()
         linked = 0
 
-    def pop(name: str, within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
-
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-            if any(t == "a" for t, _ in stack[-4:]):
-                linked += m.start() - at
-        at = m.end()
-        if m[1] is not None:
-            buffer.append(m[1].replace("&", "&amp;"))
+    at, size = 0, len(page)
+    while at < size:
+        m = page.find("<", at)
+        if m < 0:
+            break
+        mark = page[m + 1 : m + 2]
+        if mark in ("!", "?") and mark:
+            text(at, m)
+            if page.startswith("<![CDATA[", m):
+                end = page.find("]]>", m)
+                buffer.append(page[m + 9 : end if end >= 0 else size].replace("&", "&amp;"))
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<!--", m):
+                end = page.find("-->", m + 2)
+                at = end + 3 if end >= 0 else size
+            else:
+                end = page.find(">", m)
+                at = end + 1 if end >= 0 else size
             continue
-        if m[3] is None:
+        closes = mark == "/"
+        found = _NAME.match(page, m + 1 + closes)
+        if not found:
+            if closes and m + 2 < size:  # </ and no name: a comment
+                text(at, m)
+                end = page.find(">", m)
+                at = end + 1 if end >= 0 else size
+            else:
+                text(at, m + 1)
+                at = m + 1
             continue
-        name = m[3].lower()
+        rest = _REST.match(page, found.end())
+        text(at, m)
+        at = rest.end() if rest else size  # a tag that never ends takes the rest of the page with it
+        if not rest:
+            break
+        name = found[0].lower()
         if name in BLOCK:
             flush()
-        if m[2]:
-            if name == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            pop(name, frozenset({"table"}) if name not in ("table", "body", "html", "main", "article", "div", "section") else frozenset())
+        if closes:
+            opened.pop(name, () if name in ("table", "body", "html", "main", "article", "div", "section") else ("table",))
             continue
         if name == "br":
             buffer.append(" ")
         if name in VOID:
             continue
-        if name in SILENT and name != "head":
-            if end := _ENDING[name].search(page, at):
+        if name in SILENT:
+            end = None if name in gone else _ENDING[name].search(page, at)
+            if end:
                 at = end.end()
             elif name in ("script", "style"):
-                at = len(page)
-            buffer.append(" ")
+                at = size
+            else:
+                gone.add(name)
+            if name not in ("script", "style", "template"):  # those leave no gap where they stand
+                buffer.append(" ")
             continue
         if name in _ENDS_P:
-            pop("p", frozenset({"table", "td", "th", "button", "object"}))
+            opened.pop("p", ("table", "td", "th", "button", "object"))
         elif name in ("li", "dt", "dd", "option"):
             for other in ("dt", "dd") if name in ("dt", "dd") else (name,):
-                pop(other, frozenset({"ul", "ol", "dl", "menu", "select"}))
+                opened.pop(other, ("ul", "ol", "dl", "menu", "select"))
         elif name in ("td", "th", "tr"):
             for other in ("td", "th") if name != "tr" else ("td", "th", "tr"):
-                pop(other, frozenset({"table"}))
-        stack.append((name, _attributes(m[4])))
-    if at < len(page):
-        buffer.append(page[at:])
+                opened.pop(other, ("table",))
+        opened.push(name, _attributes(page[found.end() : at - 1]))
+    text(at, size)
     flush()
     return out
 
 
-def _features(found: list[Block]) -> list[list[str]]:
-    """Of each block: the elements around it, their class words, and what its text is like."""
-    out = []
-    for k, b in enumerate(found):
-        tags = [t for t, _ in b.path if t not in ("html", "body")]
-        near = next((t for t in reversed(tags) if t in BLOCK), "")
+def _own_features(page: Page) -> list[list[str]]:
+    """Of each block, what its text and place are like; the features of the elements around it come from the page."""
+    out, last = [], len(page.blocks) - 1
+    for k, b in enumerate(page.blocks):
         n = b.text.count(" ") + 1
         share = min(3, 4 * b.linked // max(1, len(b.text)))
-        f = ["1", "t:" + near, f"n:{min(6, n.bit_length())}", f"l:{share}", *{"a:" + t for t in tags}, *{"c:" + c for _, cs in b.path for c in cs}]
-        f.append("end:" + ("." if b.text[-1] in ".!?…。\"”»" else "x"))
-        if "©" in b.text or re.search(r"\b(?:19|20)\d\d\b.*rights", b.text, re.I):
+        f = ["1", "t:" + b.near, f"n:{min(6, n.bit_length())}", f"l:{share}", "end:" + ("." if b.text[-1] in ".!?…。\"”»" else "x")]
+        if "©" in b.text or _RIGHTS.search(b.text):
             f.append("copyright")
-        if not tags:
+        if b.bare:
             f.append("bare")
-        f.append("first" if k == 0 else "last" if k == len(found) - 1 else "mid")
+        f.append("first" if k == 0 else "last" if k == last else "mid")
         out.append(f)
     return out
 
 
+def _features(page: Page) -> list[list[str]]:
+    """Of each block: what it is like, the elements around it and their class words."""
+    return [own + page.around(b) for own, b in zip(_own_features(page), page.blocks)]
+
+
 @dataclass
 class Chain:
     """Two labels (0 other, 1 main text): a weight for each feature and label, and for each step between labels."""
@@ -148,15 +245,29 @@ class Chain:
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
-    def viterbi(self, found: list[Block]) -> list[bool]:
-        """The likeliest labels of a page's blocks together."""
-        if not found:
+    def __post_init__(self) -> None:
+        self._plain = {w: (float(v[0]), float(v[1])) for w, v in self.weights.items()}
+
+    def viterbi(self, page: Page) -> list[bool]:
+        """The likeliest labels of a page's blocks together; of equal ones those that leave a block out."""
+        if not page.blocks:
             return []
-        zero, back = np.zeros(2), []
+        # each element's weights with those of the elements around it, outermost first
+        none, sums, get = (0.0, 0.0), [], self._plain.get
+        for above, adds in zip(page.above, page.adds):
+            x, y = sums[above] if above >= 0 else none
+            for f in adds:
+                p, q = get(f, none)
+                x, y = x + p, y + q
+            sums.append((x, y))
+        back = []
         (s00, s01), (s10, s11) = self.steps.tolist()
         a = b = 0.0
-        for k, f in enumerate(_features(found)):
-            x, y = sum((self.weights.get(w, zero) for w in f), zero).tolist()
+        for k, (block, own) in enumerate(zip(page.blocks, _own_features(page))):
+            x, y = sums[block.node]
+            for f in own:
+                p, q = get(f, none)
+                x, y = x + p, y + q
             if k:
                 back.append((b + s10 > a + s00, b + s11 > a + s01))
                 a, b = max(a + s00, b + s10), max(a + s01, b + s11)
@@ -167,11 +278,11 @@ class Chain:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> Chain:
+def fit(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> Chain:
     """Adagrad on the penalised log likelihood (forward and backward sums), all pages at once."""
     names = sorted({w for found, _ in pages for f in _features(found) for w in f})
     index = {w: k for k, w in enumerate(names)}
-    n, longest = len(pages), max((len(x) for x, _ in pages), default=0)
+    n, longest = len(pages), max((len(x.blocks) for x, _ in pages), default=0)
     row, col, feature = [], [], []
     gold, live = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for i, (found, y) in enumerate(pages):
@@ -297,7 +408,7 @@ def train(count: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
     for page, main in labelled_pages(count, seed):
         found, left = blocks(page), [" ".join(x.split()) for x in main]
         y, k = [], 0
-        for b in found:
+        for b in found.blocks:
             y.append(int(k < len(left) and b.text == left[k]))
             k += y[-1]
         if k != len(left):
@@ -309,14 +420,14 @@ def train(count: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
 def main_text(page: str | None, chain: Chain) -> str:
     """The blocks labelled main, in page order, joined by an empty line."""
     found = blocks(page)
-    return "\n\n".join(b.text for b, keep in zip(found, chain.viterbi(found)) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found.blocks, chain.viterbi(found)) if keep)
 
 
 def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """One row per page: id_col, url, text (main text, empty if none), n_chars (its code points).
 
-    A null or empty page gives an empty text; pages of any length are read whole; repeated rows give a
-    row each; other columns are ignored; an empty table gives an empty result. The model is
+    A null or empty page gives an empty text; pages of any length are read whole, in time that follows their length; of equally
+    likely labellings that with less text is taken; repeated rows give a row each; other columns are ignored; an empty table gives an empty result. The model is
     trained on the driver on ``training_pages`` made pages and goes to the tasks with the function.
     """
     chain = train(training_pages)
