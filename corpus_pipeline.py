@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from echograph.llm import bpe, decontaminate, repeats, simhash, toxicity
 from echograph.llm.common import Tables
-from echograph.llm.queries import digests, table, vocabulary
+from echograph.llm.queries import table, vocabulary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token count and the digests of its ids and of what they decode to."""
-    path = vocabulary()
-    return digests(bpe.decode(spark, bpe.encode(spark, docs, path), path))
+    return bpe.round_trip(spark, docs, vocabulary())
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Chunks between white space whose encoding a task remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Bytes, by estimate, of chunks between white space whose encoding a task remembers; beyond that it starts anew.
+REMEMBERED = 24 << 20
+#: Bytes of text whose ids and decoded form a task holds at once.
+HELD = 1 << 20
 _NONE = np.int64(1) << 62
 # The pre-tokenizer's pattern, with white space as Unicode defines it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -35,9 +38,13 @@ def _byte_letters() -> list[str]:
 class Model:
     """A word-end BPE vocabulary: NFC, lower case, split by pattern, bytes as letters, merges by rank."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str | bytes):
+        """``source`` is the file's path, or what it holds."""
+        path = source if isinstance(source, str) else "vocabulary"
+        if isinstance(source, str):
+            with open(source, "rb") as f:
+                source = f.read()
+        spec = json.loads(source)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or spec.get("decoder") or model.get("byte_fallback"):
             raise ValueError(f"{path}: only BPE with word ends and without a decoder is supported")
@@ -276,6 +283,7 @@ class Coder:
         self.known = {s: k for k, s in enumerate(self.model.special)}
         self.flat = np.array(self.special, np.int64)
         self.sizes = np.ones(len(self.known), np.int64)
+        self.held = 0
 
     def learn(self, new: list[str]) -> None:
         index = {"\n": 0}
@@ -289,12 +297,13 @@ class Coder:
         self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
         self.flat = np.concatenate([self.flat, symbols[ragged(starts[order], each)]])
         self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0)])
+        self.held += sum(map(len, new)) + 8 * len(symbols) + 150 * len(new)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' symbols one after another, and how many of each text."""
         parts = [self.model.chunks(t) if t else [] for t in texts]
         new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.clear()
             new = set().union(*parts) - self.known.keys()
         if new:
@@ -315,14 +324,9 @@ def _model(spark: SparkSession, path: str) -> Callable[[], Model]:
         held = spark.sparkContext.broadcast(f.read())
 
     def get() -> Model:
-        import tempfile
-
         global _made
         if _made is None or _made[0] != path:
-            with tempfile.NamedTemporaryFile(suffix=".json") as f:
-                f.write(held.value)
-                f.flush()
-                _made = (path, Model(f.name))
+            _made = (path, Model(held.value))
         return _made[1]
 
     return get
@@ -373,6 +377,36 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, ids array<int>")
 
 
+def _digests(names: pa.Array, ids: np.ndarray, each: np.ndarray) -> list[str]:
+    """The SHA-256 of each text's names joined by a space."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(ids))), " ")
+    _, offsets, data = joined.buffers()
+    at, raw = np.frombuffer(offsets, np.int32)[: len(joined) + 1].tolist(), memoryview(data) if data else b""
+    return [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+
+
+def round_trip(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id_col, n_tokens, ids_sha256, decoded_sha256, of what ``encode`` and ``decode`` give.
+
+    Both in one step: ids and decoded texts stay in the task, about HELD bytes of text at a time (a longer
+    text by itself), and only their digests (hex SHA-256 of the decimal ids joined by a space, and of the decoded
+    text) leave it. A null text counts as empty; repeated rows give a row each; other columns are
+    ignored; an empty table gives an empty result.
+    """
+    get = _model(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = get()
+        coder = Coder(model, merge_trees, [*model.special.values()])
+        names, numbers = pa.array(model.tokens), pa.array(map(str, range(len(model.tokens))))
+        for batch in slices(batches, "text", HELD):
+            ids, each = coder.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each), pa.array(_digests(numbers, ids, each), pa.string()), pa.array(_digests(names, ids, each), pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(spark: SparkSession, coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """All columns and decoded: the tokens of ids_col joined by a space, special tokens kept. Null ids give null."""
     get = _model(spark, path)

@@ -62,8 +62,7 @@ def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return digests(bpe.decode(spark, bpe.encode(spark, table(spark, sf_dir, "documents"), path), path))
+    return bpe.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +78,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_revisits": r"""
 WITH p AS (
-  SELECT page_id AS k, coalesce(html, '') AS h,
-    regexp_replace(regexp_replace(trim(url), '[#?].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+  SELECT page_id AS k, coalesce(html, '') AS h, regexp_replace(trim(url), '#.*$', '') AS bare,
+    regexp_replace(regexp_replace(bare, '[?].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+    list_sort([x for x in string_split(regexp_extract(bare, '[?](.*)$', 1), '&') if x <> '' AND NOT starts_with(x, 'utm_')]) AS asked FROM pages),
 c AS (
   SELECT k, h, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/]*', 0)), '^(www|m)\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(rest, '/.*$', 0), '/+$', '') AS canonical, '"' || md5(h) || '"' AS tag FROM p),
+    || regexp_replace(regexp_extract(rest, '/.*$', 0), '/+$', '') || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS canonical, '"' || md5(h) || '"' AS tag FROM p),
 f AS (SELECT 'r' || k AS record_id, canonical, k * 10 AS at_time, CASE WHEN k % 5 <> 3 THEN tag END AS etag, 'day ' || (k % 365) AS day, strlen(h) AS n FROM c),
 v AS (
   SELECT 'v' || k AS record_id, k, canonical, k * 10 + CASE WHEN k % 9 = 0 THEN -5 ELSE 10 * (k % 50) + 5 END AS at_time,
