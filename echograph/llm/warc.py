@@ -22,8 +22,10 @@ RECORD = T.StructType([
 ])
 # The fields that a 304 response may renew (RFC 9110 15.4.5 and RFC 9111 3.2 leave out those about the content itself).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning")
-#: Time slices into which the captures of one URL are dealt, so that no URL's captures meet in one task.
+#: Time slices, of about as many captures each, into which the captures of one URL are dealt, so that no URL's captures meet in one task.
 SLICES = 64
+#: Bytes of payload that a batch of read records holds, and records of one.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -36,9 +38,9 @@ def _fields(lines: list[str]) -> dict[str, str]:
     return out
 
 
-def parse(raw: bytes) -> Iterator[tuple]:
+def parse(raw: bytes | pa.Buffer) -> Iterator[tuple]:
     """The response and revisit records of a WARC file's bytes, gzipped by record or as a whole, or plain; others are passed over."""
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=pa.BufferReader(raw)) if bytes(raw[:2]) == b"\x1f\x8b" else io.BufferedReader(pa.BufferReader(raw))
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -65,20 +67,51 @@ def parse(raw: bytes) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at ``path`` (RECORD columns); a file is one task's work."""
+    """The records of the WARC files at ``path`` (RECORD columns); a file is one task's work.
+
+    Spark's binaryFile source reads any store that Spark can read; the file's bytes as they are stored (gzipped, as a
+    rule) are in memory once, and records are unpacked and handed on one by one, in batches of about BATCH_BYTES. Records
+    other than responses and revisits are passed over; a file that isn't WARC is an error; an empty file has no records.
+    """
+    kinds = [pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [list(x) for x in zip(*rows)]
+        columns[5] = [list(x.items()) for x in columns[5]]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], RECORD.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                rows = list(zip(*parse(raw.as_py())))
+                rows, size = [], 0
+                for row in parse(raw.as_buffer()):
+                    rows.append(row)
+                    size += len(row[6])
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
                 if rows:
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                    rows[5] = [list(x.items()) for x in rows[5]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], RECORD.names)
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
+def to_captures(records: DataFrame) -> DataFrame:
+    """RECORD columns and what ``resolve`` asks for besides: at as whole microseconds, etag and last_modified out of the headers."""
+    return records.withColumns({"at": F.unix_micros("at"), "etag": F.try_element_at("headers", F.lit("etag")), "last_modified": F.try_element_at("headers", F.lit("last-modified"))})
+
+
+def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
+    """What ``resolve`` gave with each record's payload: its own, or, where a revisit is resolved, that of its base.
+
+    ``records`` are those that were resolved, with record_id and payload; ids that repeat there must mean one payload.
+    A payload column is added; it is null for a revisit that isn't resolved.
+    """
+    held = records.groupBy(F.col("record_id").alias("_payload_of")).agg(F.first("payload", ignorenulls=True).alias("payload"))
+    source = F.when(F.col("outcome") == "resolved", F.col("base_id")).when(F.col("outcome").isin("full", "other"), F.col("record_id"))
+    return resolved.withColumn("_source", source).join(held, F.col("_source") == F.col("_payload_of"), "left").drop("_source", "_payload_of")
+
+
 def write_warc(records: DataFrame, path: str) -> None:
     """Each record as WARC/1.1 text in a gzip member of its own, as one row of a table with a binary column, content.
 
@@ -101,11 +134,17 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def canonical_url(url: Column) -> Column:
-    """http and https alike, host in lower case without www. or m., default port, fragment, query and trailing slashes gone. Null for null."""
-    bare = F.regexp_replace(F.trim(url), "[#?].*$", "")
-    rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    """http and https alike, host in lower case without www. or m., default port, fragment and trailing slashes gone; null for null.
+
+    The query stays, as it says which page it is: its parameters in order, without empty ones and those named utm_..., which
+    only say where a link stood.
+    """
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    rest = F.regexp_replace(F.regexp_replace(bare, "[?].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^[^/]*", 0)), "^(www|m)\\.", ""), ":(80|443)$", "")
-    return F.concat(host, F.regexp_replace(F.regexp_extract(rest, "/.*$", 0), "/+$", ""))
+    path = F.regexp_replace(F.regexp_extract(rest, "/.*$", 0), "/+$", "")
+    asked = F.array_sort(F.filter(F.split(F.regexp_extract(bare, "[?](.*)$", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_")))
+    return F.concat(host, path, F.when(F.size(asked) > 0, F.concat(F.lit("?"), F.array_join(asked, "&"))).otherwise(F.lit("")))
 
 
 def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
@@ -119,11 +158,13 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     'validator mismatch' (both sides have an ETag and they differ, weak marks aside; or, where not both have
     one, both have a Last-Modified and they differ), 'unproven' (no validator that both have) or
     'other'. merged is a full record's headers, or, where resolved, the base's headers renewed by the revisit's permitted ones; else null.
-    Null URLs match nothing. Repeated rows give a row each.
+    Null URLs and times match nothing. Repeated rows give a row each; of full responses that share id, URL and time one is
+    taken as base (the largest by its validators). An empty table gives an empty result.
 
-    The as-of join deals the captures of a URL into time slices: the latest full response before
-    a row is the latest in its own slice, or else of the latest earlier slice that has one, and a
-    URL has at most SLICES of these. So a URL that holds a third of all captures is many tasks' work.
+    The as-of join deals the captures of a URL into slices by time, whose borders are quantiles of all times: the latest full
+    response before a row is the latest in its own slice, or else of the latest earlier slice that has one, and a
+    URL has at most SLICES of these. Within a slice the windows hold one row for each time, not for each
+    capture. So a URL that holds a third of all captures is many tasks' work.
     """
     tables = Tables(spark)
     full = (F.col("kind") == "response") & (F.col("status") == 200)
@@ -131,19 +172,24 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     rows = records.select("record_id", "url", "at", "kind", "status", "etag", "last_modified", "headers").withColumns({
         "canonical": canonical_url(F.col("url")), "full": F.coalesce(full & ~revisit, F.lit(False)), "revisit": revisit,
     })
-    ends = records.agg(F.min("at").alias("a"), F.max("at").alias("b")).collect()[0]
-    first, width = (ends.a or 0), max(1e-9, ((ends.b or 0) - (ends.a or 0)) / (SLICES - 1))
-    rows = tables.cut(rows.withColumn("slice", F.floor((F.col("at") - F.lit(first)) / F.lit(width)).cast("int")))
+    borders = sorted(set(records.select(F.col("at").cast("long").alias("at")).approxQuantile("at", [k / SLICES for k in range(1, SLICES)], 0.005)))
+    inside = F.array(*[F.lit(int(b)) for b in borders]) if borders else F.array().cast("array<bigint>")
+    rows = tables.cut(rows.withColumn("slice", F.size(F.filter(inside, lambda b: b < F.col("at")))))
     timed = rows.where("canonical is not null and at is not null")
+    # a row for each time of a URL: its full response, and whether a revisit asks
+    times = timed.where("full or revisit").groupBy("canonical", "slice", "at").agg(F.max(F.when(F.col("full"), F.struct("at", "record_id"))).alias("best"), F.max("revisit").alias("asks"))
+    times = tables.cut(times)
     # the latest full response of each slice, and for each slice of a URL that of the slices before it
-    by_slice = timed.groupBy("canonical", "slice").agg(F.max(F.when(F.col("full"), F.struct("at", "record_id"))).alias("best"), F.count_if("revisit").alias("asks"))
+    by_slice = times.groupBy("canonical", "slice").agg(F.max("best").alias("best"), F.max("asks").alias("asks"))
     line = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_slice.withColumn("carried", F.last("best", ignorenulls=True).over(line)).where("asks > 0").select("canonical", "slice", "carried")
-    # within the slice: the latest at a strictly earlier time
-    near = Window.partitionBy("canonical", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    own = timed.where("full or revisit").withColumn("own", F.max(F.when(F.col("full"), F.struct("at", "record_id"))).over(near)).where("revisit")
-    asked = own.join(carried, ["canonical", "slice"], "left").withColumn("found", F.coalesce("own", "carried")).drop("own", "carried")
-    bases = timed.where("full").select(F.col("record_id").alias("base_id"), F.col("at").alias("base_at"), F.col("canonical").alias("base_canonical"), F.col("etag").alias("base_etag"), F.col("last_modified").alias("base_modified"), F.col("headers").alias("base_headers")).dropDuplicates(["base_id", "base_at", "base_canonical"])
+    carried = by_slice.withColumn("carried", F.last("best", ignorenulls=True).over(line)).where("asks").select("canonical", "slice", "carried")
+    # within the slice: the latest at an earlier time
+    near = Window.partitionBy("canonical", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = times.withColumn("own", F.last("best", ignorenulls=True).over(near)).where("asks")
+    answer = tables.cut(own.join(carried, ["canonical", "slice"], "left").select("canonical", "at", F.coalesce("own", "carried").alias("found")))
+    asked = timed.where("revisit").join(answer, ["canonical", "at"])
+    base = F.max(F.struct("etag", "last_modified", F.map_entries("headers").alias("headers")))
+    bases = timed.where("full").groupBy(F.col("record_id").alias("base_id"), F.col("at").alias("base_at"), F.col("canonical").alias("base_canonical")).agg(base.alias("b")).select("base_id", "base_at", "base_canonical", F.col("b.etag").alias("base_etag"), F.col("b.last_modified").alias("base_modified"), F.map_from_entries("b.headers").alias("base_headers"))
     joined = asked.join(bases, (F.col("found.record_id") == F.col("base_id")) & (F.col("found.at") == F.col("base_at")) & (F.col("canonical") == F.col("base_canonical")), "left")
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     tags = F.col("etag").isNotNull() & F.col("base_etag").isNotNull()

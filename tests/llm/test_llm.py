@@ -131,7 +131,7 @@ def test_near_duplicates_empty_and_extra_columns(spark):
 def test_revisits(spark):
     at = lambda *x: (*x, )
     rows = [
-        at("a", "http://www.Example.com/x/?q=1#f", 10, "response", 200, '"1"', None, {"etag": '"1"', "content-length": "5", "date": "old"}),
+        at("a", "http://www.Example.com/x/?utm_medium=1#f", 10, "response", 200, '"1"', None, {"etag": '"1"', "content-length": "5", "date": "old"}),
         at("b", "https://example.com:443/x", 20, "revisit", 304, 'W/"1"', None, {"date": "new", "content-length": "0"}),
         at("c", "https://example.com/x", 30, "response", 200, '"2"', "d2", {"etag": '"2"'}),
         at("d", "https://example.com/x", 30, "response", 200, '"3"', "d2", {"etag": '"3"'}),
@@ -166,6 +166,68 @@ def test_warc_round_trip(spark, tmp_path):
     assert bytes(got["r1"].payload) == rows[0][6] and got["r1"].headers == {"etag": '"x"'} and got["r2"].status == 304 and got["r1"].at == rows[0][3]
 
 
+def plain_canonical(url):
+    if url is None:
+        return None
+    bare = url.strip(" ").split("#")[0]
+    rest, _, query = bare.partition("?")
+    rest = __import__("re").sub("^[A-Za-z][A-Za-z0-9+.-]*://", "", rest)
+    host, slash, path = rest.partition("/")
+    host = __import__("re").sub(r"^(www|m)\.", "", host.lower())
+    host = __import__("re").sub(":(80|443)$", "", host)
+    asked = sorted(p for p in query.split("&") if p and not p.startswith("utm_"))
+    return host + (slash + path).rstrip("/") + ("?" + "&".join(asked) if asked else "")
+
+
+def test_revisits_brute_force(spark, monkeypatch):
+    """A crowded URL with equal times, repeated rows, extra columns, and one stray early time."""
+    monkeypatch.setattr(warc, "SLICES", 7)
+    rng = random.Random(12)
+    urls = ["http://a.com/x?id=1", "https://www.a.com/x?id=2", "a.com/x/?utm_source=f&id=1", "http://A.com:80/x?b=2&a=1", "http://a.com/x?a=1&b=2", "http://a.com/", "http://a.com?", None]
+    rows = []
+    for k in range(400):
+        kind = rng.choice(["response", "revisit", "revisit", "other"])
+        rows.append((f"r{k:03}", rng.choice(urls[:1] * 6 + urls), rng.choice([-(10**12), None, *[rng.randrange(60)] * 30]), kind, 200 if kind == "response" else 304, rng.choice([None, '"1"', 'W/"1"', '"2"']), rng.choice([None, "d"]), {"h": str(k)}, "x", 5))
+    rows += rows[:40]
+    kinds = "record_id string, url string, at long, kind string, status int, etag string, last_modified string, headers map<string,string>, canonical string, slice int"
+    got = sorted(((r.record_id, r.canonical, r.base_id, r.outcome) for r in warc.resolve(spark, spark.createDataFrame(rows, kinds)).collect()), key=repr)
+    want = []
+    for r in rows:
+        url, base = plain_canonical(r[1]), None
+        if r[4] == 200:
+            want.append((r[0], url, None, "full"))
+            continue
+        before = [b for b in rows if b[4] == 200 and url is not None and plain_canonical(b[1]) == url and b[2] is not None and r[2] is not None and b[2] < r[2]]
+        base = max(before, key=lambda b: (b[2], b[0]), default=None)
+        same = lambda a, b: "resolved" if a == b else "validator mismatch"
+        outcome = "no base" if base is None else same(r[5].replace("W/", ""), base[5].replace("W/", "")) if r[5] and base[5] else same(r[6], base[6]) if r[6] and base[6] else "unproven"
+        want.append((r[0], url, base and base[0], outcome))
+    assert got == sorted(want, key=repr) and {g[3] for g in got} == {"full", "no base", "resolved", "validator mismatch", "unproven"}
+
+
+def test_warc_bytes_to_resolved_records(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(warc, "BATCH_ROWS", 2)
+    long = "v" * 50_000
+    rows = [
+        ("r1", "response", "http://a/p?id=1", datetime(2024, 1, 2, 3, 4, 5), 200, {"etag": '"x"', "x-long": long, "date": "old"}, b"body one"),
+        ("r2", "response", "http://a/p?id=2", datetime(2024, 1, 2, 3, 4, 6), 200, {"last-modified": "then"}, b"body two"),
+        ("v1", "revisit", "http://a/p?id=1", datetime(2024, 1, 3), 304, {"etag": 'W/"x"', "date": "new"}, b""),
+        ("v2", "revisit", "http://a/p?id=2", datetime(2024, 1, 3), 304, {"last-modified": "then"}, b""),
+        ("v3", "revisit", "http://a/p?id=3", datetime(2024, 1, 3), 304, {"etag": '"x"'}, b""),
+        ("n1", "response", "http://a/none", datetime(2024, 1, 3), 404, {}, b"missing"),
+    ]
+    warc.write_warc(spark.createDataFrame(rows, warc.RECORD), str(tmp_path / "t"))
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()))
+    records = warc.read_warc(spark, str(tmp_path / "x.warc.gz"))
+    got = {r.record_id: r for r in warc.with_payload(warc.resolve(spark, warc.to_captures(records)), records).collect()}
+    assert {k: (r.outcome, r.base_id, None if r.payload is None else bytes(r.payload)) for k, r in got.items()} == {
+        "r1": ("full", None, b"body one"), "r2": ("full", None, b"body two"), "v1": ("resolved", "r1", b"body one"), "v2": ("resolved", "r2", b"body two"), "v3": ("no base", None, None), "n1": ("other", None, b"missing"),
+    }
+    assert got["v1"].merged == {"etag": 'W/"x"', "x-long": long, "date": "new"}
+
+
 # HTML
 
 
@@ -190,6 +252,57 @@ def test_viterbi_brute_force():
         assert abs(value([int(x) for x in chain.viterbi(found)]) - best) < 1e-9
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p title=don't>Hello, it's me</p><p>Next one's here</p></article>", ["Hello, it's me", "Next one's here"]),
+        ('<p title="a > b" class = \'x\'>one</p><p data-x=a"b>two "q"</p>', ["one", 'two "q"']),
+        ("<p>x <math><mi>y</mi></math> <object>z</object> <noscript>n</noscript> <svg><text>s</text></svg>", ["x y z n s"]),
+        ("<p>a &lt;b&gt; &amp; c<!-- <p>no</p> --><![CDATA[d <e>]]></p>", ["a <b> & cd <e>"]),
+        ("<p>1 < 2 and 3 <4</p>", ["1 < 2 and 3 <4"]),
+        ("<p>a<script>x</p></script>b<style>y</style></p><title>t</title><textarea>u</textarea>", ["ab"]),
+        ("<ul><li>a<li>b<ul><li>c</ul>d</ul><table><tr><td>e<td>f</table>", ["a", "b", "c", "d", "e", "f"]),
+    ],
+)
+def test_blocks_of_odd_markup(page, want):
+    assert [b.text for b in html.blocks(page).blocks] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<svg>", "<div>x", "<p>x</b>", '<a b="', "<a b='<a c=\"", "<!--", "<select>", "<table><p></div>", "<p><table>x</p>", "<x{k}>y", "<div class='c{k} d{k}'>z", "</p", "<![CDATA[", "<a =", "&amp;<b>"])
+def test_a_megabyte_of_bad_markup_takes_linear_time(unit):
+    import time
+
+    page, began = "".join(unit.format(k=k) for k in range((1 << 20) // len(unit))), time.time()
+    html.main_text(page, html.train())
+    assert time.time() - began < 40
+
+
+def test_pages_against_their_layout(spark):
+    """The table's pages have one layout: everything in article but what stands in an element of some other purpose."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
+    got = html.extract(spark, spark.read.parquet(f"{SF}/pages.parquet")).toPandas().set_index("page_id").text
+    right = total = 0
+    for k, page in zip(pages.page_id, pages.html):
+        want = plain_article(page)
+        if want is not None:
+            total += 1
+            right += got[k] == want
+    assert total > 0.9 * len(pages) and right == total
+
+
+def plain_article(page):
+    """A plain reading of those pages: the blocks between <article> and </article>."""
+    import html as entities
+    import re
+
+    m = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    if m is None:
+        return None
+    parts = re.split(r"</?(?:p|h1)\b[^>]*>", m[1])
+    texts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
 def test_extract(spark):
     body = "<article><h1>T &amp; &lt;b&gt;</h1><p>One\n two<p>Three &copy; here.</article><footer>F</footer><script>var x='<p>no</p>'</script>"
     rows = [(1, "u", body), (2, "u", None), (3, None, ""), (4, "u", "<p>a<"), (1, "u", body), (5, "u", "<div>" * 3000)]
@@ -242,7 +355,7 @@ def test_machine_learns_an_interaction():
 
 
 def test_embeddings_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_CELL", 40)
+    monkeypatch.setattr(vectors, "SPREAD", 1)
     monkeypatch.setattr(vectors, "OWN", 16)
     monkeypatch.setattr(vectors, "OTHERS", 64)
     monkeypatch.setattr(vectors, "STEP", 8)
@@ -261,6 +374,30 @@ def test_embeddings_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(spark, df.limit(0)).collect() == []
 
 
+def test_embeddings_of_any_size_length_and_id(spark):
+    tiny = 5e-324
+    vecs = [[1e200, 0.0], [2e200, 1.0], [1e-200, 0.0], [tiny, 0.0], [-0.0, 3.0], [0.0, 1e308], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [-1.0, 0.0], [5.0], [7.0], [-7.0]]
+    rows = [(k, v) for k, v in enumerate(vecs)] + [(0, vecs[0]), (20, [0.0, -1.0]), (20, [0.01, -1.0]), (None, [1.0, 0.0]), (None, None)]
+    got = sorted((tuple(r) for r in vectors.near_duplicates(spark, spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, key int, dim int")).collect()), key=repr)
+    want = [(0, 4, 0, True)] * 2 + [(k, 4, 0, False) for k in (1, 2, 3)] + [(4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 9, False), (11, 0, 11, True)] + [(20, 1, 20, True)] * 2 + [(None, 0, None, True)] * 2
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("dims", [2, 3, 12])
+def test_embeddings_across_many_borders(spark, monkeypatch, dims):
+    monkeypatch.setattr(vectors, "SPREAD", 1)
+    monkeypatch.setattr(vectors, "STEP", 7)
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(500, dims))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark, df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = roots(np.argwhere(near).tolist(), range(500))
+    assert got == {k: (near[k].sum(), want[k]) for k in range(500)}
+
+
 # repeats
 
 
@@ -324,6 +461,31 @@ def test_repeats_inside_one_run(spark, period):
         assert got == plain_passages(texts) and any(again and k == 0 for k, _, _, again in got)
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_passages_whatever_the_tasks(spark, monkeypatch, tasks):
+    """Many kinds of one gram, dealt over few and many sorted ranges."""
+    rng = random.Random(tasks)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([f"l{rng.randrange(4)}" for _ in range(rng.randrange(40))] + common[rng.randrange(12) : rng.randrange(40, 61)] + [f"r{rng.randrange(3)}" for _ in range(rng.randrange(40))]) for _ in range(70)]
+    monkeypatch.setattr(repeats, "PER_TASK", 10**9 if tasks == 1 else 3)
+    monkeypatch.setattr(repeats, "ROWS", 5)
+    got = {(r.id, r.start, r.end, r.again) for r in repeats.passages(spark, frame(spark, texts)).collect()}
+    assert got == plain_passages(texts) and len(got) > 30
+
+
+def test_repeats_ids_columns_and_long_texts(spark):
+    shared, other = " ".join(f"s{k}" for k in range(60)), " ".join(f"o{k}" for k in range(55))
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, shared), (1, "short"), (1, other), (2, other + " x"), (None, shared), (3, None), (4, ""), (5, long + " " + shared), (6, "own " + long), (5, long + " " + shared)]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", 1) for i, t in rows], "doc_id long, text string, id string, cuts string, mark string, start int")
+    kept = repeats.cut_repeats(spark, docs)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(1, shared), (1, "short"), (1, other), (2, " x"), (None, shared), (3, None), (4, ""), (5, long + " "), (5, long + " "), (6, "own ")]
+    assert got == sorted(want, key=repr) and kept.columns == docs.columns
+    found = sorted((r.doc_id, r.n_passages, r.n_chars_again) for r in repeats.repeated(spark, docs).collect())
+    assert [f[0] for f in found] == [1, 1, 2, 5, 6] and found[3][1] == 2 and found[3][2] == len(shared) and found[4][2] == len(long)
+
+
 def test_cut_repeats(spark):
     shared, rng = " ".join(f"s{k}" for k in range(70)), random.Random(4)
     own = [" ".join(f"d{k}x{rng.randrange(9999)}" for _ in range(40)) for k in range(3)]
@@ -372,7 +534,24 @@ def test_bpe_queries(spark, library):
         assert got[k].n_tokens == counts[k].n_tokens == len(ids) and counts[k].n_bytes == len((t or "").encode()) and counts[k].over_limit == (len(ids) > 2048)
         assert got[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[k].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    assert bpe.encode(spark, frame(spark, []), vocabulary()).collect() == [] and bpe.count_tokens(spark, frame(spark, []), vocabulary()).collect() == []
+    assert sorted(bpe.round_trip(spark, docs, vocabulary()).collect()) == sorted(got.values())
+    assert bpe.encode(spark, frame(spark, []), vocabulary()).collect() == [] and bpe.round_trip(spark, frame(spark, []), vocabulary()).collect() == [] and bpe.count_tokens(spark, frame(spark, []), vocabulary()).collect() == []
+
+
+def test_bpe_long_texts_repeated_rows_and_columns(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 500)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aeinrst") for _ in range(32_000)), " ".join(rng.choice(["the", "<|endoftext|>", "Ünïted", "x1y2"]) for _ in range(40_000)), "same", "same", None]
+    rows = [(k, t, 1, "n", "i") for k, t in enumerate(texts)] + [(3, "same", 1, "n", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string, decoded string")
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(spark, docs, vocabulary()).collect())
+    counts = sorted((r.doc_id, r.n_tokens) for r in bpe.count_tokens(spark, docs, vocabulary()).collect())
+    want = []
+    for r in rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want) and counts == sorted(x[:2] for x in want)
 
 
 # decontamination
