@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import Tables, held_out, slices
 from .quality import labelled
 
 #: At most this many labelled rows of each class, first in a hashed order of doc_id, are learnt from.
 SAMPLE = 6_000
-#: Terms kept (by chi square), those kept stand in so many rows at least with so strong an association; hash bits; factors a term.
-TERMS, SUPPORT, STRENGTH, BITS, FACTORS = 2048, 5, 40.0, 40, 8
+#: Hash bits of a term; factors a term.
+BITS, FACTORS = 40, 8
 #: A word's beginnings of these lengths are terms too: they stand for inflected and compound forms.
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -117,41 +117,74 @@ def train(ids: np.ndarray, rows: list[np.ndarray], y: np.ndarray, rounds: int =
     return Machine(ids, float(theta[0][0]), theta[1], theta[2])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Chooses the terms by their counts over the sample (in Spark), then trains on the driver on the rows' chosen terms."""
-    rows = labelled(docs, labels, target, sample, True, id_col, text_col)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text, y) rows: for each term, how many rows of either class hold it."""
+    for batch in slices(batches, "text"):
+        y, known = np.array(batch.column(1).to_pylist()), {}
+        found = []
+        for text in batch.column(0).to_pylist():
+            words = words_of(text)
+            known |= {w: terms_of(w) for w in words - known.keys()}
+            terms = {t for w in words for t in known[w]}
+            found.append(np.fromiter(terms, np.int64, len(terms)))
+        flat, label = np.concatenate(found), np.repeat(y, [len(f) for f in found])
+        ids, at = np.unique(flat, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, label == 1, len(ids)).astype(np.int64)), pa.array(np.bincount(at, label == 0, len(ids)).astype(np.int64))], ["term", "n1", "n0"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            y, known = np.array(batch.column(1).to_pylist()), {}
-            found = []
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                known |= {w: terms_of(w) for w in words - known.keys()}
-                terms = {t for w in words for t in known[w]}
-                found.append(np.fromiter(terms, np.int64, len(terms)))
-            flat, label = np.concatenate(found), np.repeat(y, [len(f) for f in found])
-            ids, at = np.unique(flat, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, label == 1, len(ids)).astype(np.int64)), pa.array(np.bincount(at, label == 0, len(ids)).astype(np.int64))], ["term", "n1", "n0"])
-
-    def pick(ids: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chosen = Chosen(ids)
-            for batch in slices(batches, "text"):
-                got = [chosen.of(t) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.int32).tobytes() for g in got], pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
-
-        return run
 
+def _telling(tables: Tables, rows: DataFrame) -> list[int]:
+    """The terms that tell the classes of ``rows`` (text, y) apart more than chance would for one of all terms.
+
+    By the likelihood ratio (G), which has a chi square's distribution for a term that tells nothing: it exceeds
+    2 ln m with a chance of about 1 in m, so of m such terms about one is taken. The bound follows from the rows; there is no other.
+    """
     total = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     p, q = float(total.get(1, 0)), float(total.get(0, 0))
-    counts = rows.mapInArrow(count, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").cast("double").alias("a"), F.sum("n0").cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    cross = a * (F.lit(q) - b) - b * (F.lit(p) - a)
-    chi = F.try_divide(cross * cross * (p + q), (a + b) * (F.lit(p + q) - a - b) * F.lit(p) * F.lit(q))
-    best = counts.where(a + b >= SUPPORT).select("term", chi.alias("chi")).where(F.col("chi") >= STRENGTH).orderBy(F.desc("chi"), "term").limit(TERMS)
-    ids = np.array(sorted(r.term for r in best.collect()), np.int64)
-    got = rows.mapInArrow(pick(ids), "x binary, y int").toArrow()
+    if not p or not q:
+        return []
+    counts = tables.cut(rows.mapInArrow(_count, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").cast("double").alias("a"), F.sum("n0").cast("double").alias("b")))
+    part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+    a, b, n = F.col("a"), F.col("b"), p + q
+    have, lack = (a + b) / n, (F.lit(n) - a - b) / n
+    g = 2 * (part(a, have * p) + part(b, have * q) + part(F.lit(p) - a, lack * p) + part(F.lit(q) - b, lack * q))
+    found = [r.term for r in counts.where(g > 2 * float(np.log(max(2, counts.count())))).select("term").collect()]
+    tables.drop(counts)
+    return found
+
+
+def _pick(ids: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Chosen(ids)
+        for batch in slices(batches, "text"):
+            got = [chosen.of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.int32).tobytes() for g in got], pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
+
+    return run
+
+
+def _holding(ids: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Chosen(ids)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array([len(chosen.of(t)) > 0 for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """Chooses the terms by their counts over the sample (in Spark), then trains on the driver on the rows' chosen terms.
+
+    Chosen are the terms that tell the classes apart, and besides those that do so among the rows that hold one of
+    these: a mention that is as common in clean texts tells only beside an insult. Two terms neither of which tells anything
+    by itself, nor beside another, aren't found. The sample is read from the documents once and written.
+    """
+    tables = Tables(spark)
+    rows = tables.cut(labelled(docs, labels, target, sample, True, id_col, text_col).select("text", F.col("y").cast("int").alias("y")))
+    first = np.array(sorted(_telling(tables, rows)), np.int64)
+    beside = _telling(tables, tables.cut(rows.mapInArrow(_holding(first), rows.schema))) if len(first) else []
+    ids = np.array(sorted({*first.tolist(), *beside}), np.int64)
+    got = rows.mapInArrow(_pick(ids), "x binary, y int").toArrow()
+    tables.clear()
     data = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist()))
     return train(ids, [np.frombuffer(x, np.int32).astype(np.int64) for x, _ in data], np.array([y for _, y in data], np.float64))
 
@@ -161,8 +194,9 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
 
     Learns from at most ``sample`` labelled rows of each class whose crc32 of the id isn't a multiple
     of 5; scores every whole text. Null texts count as empty and get a score; repeated rows give a
-    row each; without labels of both classes the score is the same for all; an empty table gives
-    an empty result.
+    row each; other columns are ignored; texts of any length are read whole; without labels of both classes the score is the
+    same for all, and so it is where no term tells them apart; an empty table gives an empty result. Of labels that
+    repeat an id the largest counts; labels that aren't 0 or 1 or have no id count for nothing.
     """
     model = fit(spark, docs, labels, target, sample, id_col, text_col)
 
@@ -176,13 +210,18 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns that aren't predicted toxic; scored where they stand, without a shuffle."""
+    """The documents with all their columns that aren't predicted toxic; scored where they stand, without a shuffle.
+
+    Rows without an id or a text are scored as any other (a null text as empty); repeated rows stay or go alike; columns of
+    any name may be there; an empty table gives an empty result.
+    """
     model = fit(spark, docs, labels, id_col=id_col, text_col=text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chosen = Chosen(model.ids)
-        for batch in slices(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array(model.score([chosen.of(t) for t in texts]) < 0.5))
+        for part in texts:
+            batch = pa.RecordBatch.from_arrays([part], ["text"])
+            yield pa.concat_arrays([pa.array(model.score([chosen.of(t) for t in x.column(0).to_pylist()]) < 0.5) for x in slices(iter([batch]), "text")] or [pa.array([], pa.bool_())])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(text_col)))
