@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Edits allowed, as a share of an item's characters; an item that has fewer characters than LEAST is found by equality only.
-SHARE, LEAST = 0.08, 40
-#: Code points of benchmark text that one pass broadcasts; a larger benchmark takes more passes.
-PER_PASS = 16 << 20
+#: Edits allowed, as a share of an item's characters, rounded down: the same for items of every length.
+SHARE = 0.08
+#: Code points of benchmark text that one pass broadcasts (its pieces take some 60 MB of a Python worker); a larger benchmark takes more passes.
+PER_PASS = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -24,7 +24,7 @@ def normal(text: str | None) -> str:
 
 def budget(length: int) -> int:
     """Edits within which a passage counts as the item."""
-    return int(length * SHARE) if length >= LEAST else 0
+    return int(length * SHARE)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -117,8 +117,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
     item's code points; the item is cut into budget + 1 pieces, one of which must stand unchanged
     in any passage within the budget; an Aho-Corasick automaton over all pieces finds these, and
     Myers' distance on the window around a hit decides. edits is the least found. Null and empty
-    texts and items give no row; repeated rows give a row each; items that share an id are tried each and
-    the best is told. The benchmark is dealt in blocks of bounded size, each broadcast to a pass
+    texts and items give no row; repeated rows give a row each, and so do rows without an id; items that share an id are tried each and
+    the best is told; of equally good places any is meant, as no place is told; other columns are ignored; texts of any length are read whole;
+    empty tables give an empty result. An item may begin and end within a word: one of a few letters is found in many texts. The benchmark is dealt in blocks of bounded size, each broadcast to a pass
     over the documents, which are never shuffled.
     """
     out = None
@@ -138,6 +139,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item of the benchmark, with all their columns. Rows without an id stay."""
+    """The documents that hold no item of the benchmark, with all their columns.
+
+    Rows without an id stay; of rows of one id with different texts all go if one holds an item; columns of any name may be there.
+    """
     found = leaks(spark, docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
     return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
