@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, components
+from .common import Tables, components, slices
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 #: Fingerprints that one group may hold; larger groups are split by further segments (to 2**15 at the deepest level).
 MOST = 4096
 FIRST, LAST = 2, 5
+#: Shingles of a text whose hashes are held at once; fingerprints that one task links.
+HELD, PER_TASK = 1 << 18, 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -24,30 +26,37 @@ def fingerprint(text: str | None) -> int:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
-    if len(found) < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        line, lengths = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        ends = (starts + lengths)[SHINGLE - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(islice(starts.tolist(), len(ends)), ends)]
-    counts, total = np.zeros(64, np.int64), len(hashes)
-    values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-    for k in range(0, total, 65536):
-        counts += np.unpackbits(values[k : k + 65536], axis=1).sum(0, dtype=np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    total = max(1, len(found) - SHINGLE + 1)
+    for first in range(0, total, HELD):
+        part = found[first : first + HELD + SHINGLE - 1]
+        if len(part) < SHINGLE:
+            hashes = [digest(b" ".join(part), SEED)]
+        else:
+            line, lengths = b" ".join(part), np.fromiter(map(len, part), np.int64, len(part))
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            ends = (starts + lengths)[SHINGLE - 1 :].tolist()
+            hashes = [digest(line[a:b], SEED) for a, b in zip(islice(starts.tolist(), len(ends)), ends)]
+        values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+        for k in range(0, len(values), 65536):
+            counts += np.unpackbits(values[k : k + 65536], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fingerprint long): the signed form of the 64 bits. A null text counts as empty."""
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, _mark, fingerprint long): xxhash64 of the text and the signed form of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], [id_col, "fingerprint"])
+        for batch in slices(batches, "text"):
+            values = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], [id_col, "_mark", "fingerprint"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, _mark long, fingerprint long")
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, fingerprint long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fingerprint long): the signed form of the 64 bits. A null text counts as empty."""
+    return _marked(docs, id_col, text_col).drop("_mark")
 
 
 def _ring(bits: list[int]) -> list[list[int]]:
@@ -144,6 +153,8 @@ def link_components(spark: SparkSession, prints: DataFrame, tables: Tables) -> D
     follows the input.
     """
     edges, at = None, prints.select("fingerprint", "id", F.lit(0).alias("path"))
+    # the work follows a group's size, not its bytes: so many tasks, whatever adaptive execution would make of the bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-prints.count() * 4**FIRST // PER_TASK))
     for level in range(1, LAST + 1):
         masks = F.array(*[F.lit(_signed(m)) for m in fixed_bits(level)])
         at = at.select("fingerprint", "id", F.explode(F.array(*[F.col("path") * 4 + k for k in range(4)])).alias("path"))
@@ -156,7 +167,7 @@ def link_components(spark: SparkSession, prints: DataFrame, tables: Tables) -> D
         else:
             now, large = sizes, None
         rows = at.join(now.drop("count"), ["path", "held"])
-        rows = rows.select(F.col("path").cast("long"), "held", "fingerprint", "id").repartition("path", "held").sortWithinPartitions("path", "held")
+        rows = rows.select(F.col("path").cast("long"), "held", "fingerprint", "id").repartition(tasks, "path", "held").sortWithinPartitions("path", "held")
         found = rows.mapInArrow(_group_links(level), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if large is None or large.isEmpty():
@@ -171,21 +182,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     Two documents link if their fingerprints differ in at most 3 bits; equal texts meet as one
     fingerprint before any candidates are made. A null text counts as empty (fingerprint 0);
-    repeated rows give a row each; other columns of any name are ignored; an empty table gives
-    an empty result.
+    repeated rows give a row each, also those of one id with different texts; a row without an id links as others do, but its
+    component's id is the smallest that isn't null (null if none is); other columns of any name are ignored; texts of any length
+    are read whole, HELD shingles at a time; an empty table gives an empty result.
     """
+    named = _components(spark, docs, id_col, text_col)
+    return named.select(id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, _mark, fingerprint and component_id of every row."""
     tables = Tables(spark)
-    marks = tables.cut(fingerprints(docs, id_col, text_col))
-    prints = marks.groupBy("fingerprint").agg(F.min(id_col).alias("id"))
+    marks = tables.cut(_marked(docs, id_col, text_col))
+    # a key of its own for each fingerprint, as several may have the same id or none
+    prints = tables.cut(marks.groupBy("fingerprint").agg(F.min(id_col).alias("least")).select("fingerprint", "least", F.monotonically_increasing_id().alias("id")))
+    found = link_components(spark, prints.select("fingerprint", "id"), tables)
     # written, so that both sides of the join are dealt for it and Spark can split a fingerprint that many documents have
-    parts = tables.cut(link_components(spark, prints, tables))
-    return marks.join(parts, "fingerprint").select(id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    parts = tables.cut(prints.select("fingerprint", "least").join(found, "fingerprint"))
+    least = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = tables.cut(parts.join(least, "component").select("fingerprint", "component_id"))
+    tables.drop(prints, parts)
+    return marks.join(named, "fingerprint")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the smallest of their component, with all their columns.
 
-    Rows that repeat an id keep one row.
+    Rows without an id stay, whatever they hold: nothing names them as a copy. Rows that repeat an id and a text keep one row;
+    of rows of one id with different texts each component keeps that of its smallest id, one row each of equal ones.
+    Columns of any name may be there; an empty table gives an empty result.
     """
-    kept = near_duplicates(spark, docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    found = _components(spark, docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept"), F.col("_mark").alias("_kept_mark")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_mark", F.xxhash64(text_col))
+    kept = named.join(found, (F.col(id_col) == F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi").dropDuplicates([id_col, "_mark"]).drop("_mark")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
