@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from echograph.llm import bpe, decontaminate, repeats, simhash, toxicity
-from echograph.llm.common import Tables
+from echograph.llm.common import Tables, scope
 from echograph.llm.queries import table, vocabulary
 
 
@@ -47,10 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written and read again before the next."""
+    """The stages applied to documents, each result written and read again before the next; what a stage wrote besides is removed then."""
     tables, docs = Tables(spark), table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = tables.cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope():
+            kept = tables.cut(stage(spark, docs, sf_dir))
+        tables.drop(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

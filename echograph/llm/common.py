@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from echograph.operators.links import Tables, components, shared_dir  # noqa: F401
+from echograph.operators.links import Tables, components, scope, shared_dir  # noqa: F401
 
 # Each of the 64-bit hashes below is a polynomial in this odd base modulo 2**64, then mixed.
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -17,7 +17,7 @@ WINDOW = LEAST - GRAM + 1
 #: Rows that one task compares at a time.
 ROWS = 4096
 #: Suffixes of one task when they are sorted.
-PER_TASK = 100_000
+PER_TASK = 20_000
 
 
 def _least_at(values: np.ndarray, width: int) -> np.ndarray:

@@ -125,6 +125,21 @@ def test_near_duplicates_empty_and_extra_columns(spark):
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, docs).collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
+def test_keep_one_ids_columns_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 1000)
+    long = " ".join(f"w{k % 977}x{k}" for k in range(20_000))
+    assert simhash.fingerprint(long) == plain_fingerprint(long)
+    other = " ".join(f"z{k}" for k in range(90))
+    rows = [(5, long), (5, other), (3, long), (None, long), (None, other), (7, other), (5, other), (8, None), (9, ""), (4, "alone here now"), (4, "alone here now"), (2, "a b c d e"), (2, "completely unlike that one above")]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, _id int, fingerprint string, component string")
+    kept = simhash.keep_one(spark, docs)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(3, long), (5, other), (None, long), (None, other), (8, None), (4, "alone here now"), (2, "a b c d e"), (2, "completely unlike that one above")]
+    assert got == sorted(want, key=repr) and kept.columns == docs.columns
+    links = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, docs).collect()), key=repr)
+    assert links == sorted([(5, 3), (5, 5), (3, 3), (None, 3), (None, 5), (7, 5), (5, 5), (8, 8), (9, 8), (4, 4), (4, 4), (2, 2), (2, 2)], key=repr)
+
+
 # WARC
 
 
@@ -351,6 +366,105 @@ def test_machine_learns_an_interaction():
     assert ((m.score(rows) >= 0.5) == y).mean() > 0.97 > 0.9 and m.factors[0] @ m.factors[1] > 0.5 and linear is not None
 
 
+def area(score, y):
+    """The share of pairs of one row of each class that the score puts in order."""
+    order = np.argsort(score.to_numpy(), kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    p = y.to_numpy() == 1
+    return (rank[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum())
+
+
+@pytest.mark.parametrize("module,target", [(quality, "quality"), (toxicity, "toxic")])
+def test_held_out_rows_of_a_larger_table(spark, module, target):
+    sf = "/root/testdata/sf0.1"
+    got = module.score(spark, spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).toPandas()
+    held = pd.read_parquet(f"{sf}/labels.parquet").merge(got[got.held_out], on="doc_id")
+    caught = held[held[target] == 1].predicted.mean()
+    left = (held[held[target] == 0].predicted == 0).mean()
+    assert len(held) > 500 and area(held.score, held[target]) > 0.98 and caught > 0.88 and left > 0.97
+
+
+def test_quality_score_by_plain_densities(spark):
+    docs, labels = (pd.read_parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    rows = labels.merge(docs, on="doc_id")
+    rows = rows[[zlib.crc32(str(x).encode()) % 5 != 0 for x in rows.doc_id]]
+    x, y = np.array([quality.statistics(t) for t in rows.text]), rows.quality.to_numpy()
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    own = [sum(np.outer(v - z[y == k].mean(0), v - z[y == k].mean(0)) for v in z[y == k]) / (y == k).sum() for k in (0, 1)]
+    common = sum(c * (y == k).sum() for k, c in enumerate(own)) / len(y) + 1e-6 * np.eye(x.shape[1])
+
+    def density(v, k):
+        s = (1 - quality.TO_COMMON) * own[k] + quality.TO_COMMON * common
+        s = (1 - quality.TO_ROUND) * s + quality.TO_ROUND * np.trace(s) / len(s) * np.eye(len(s))
+        d = v - z[y == k].mean(0)
+        return np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.inv(s) @ d
+
+    texts = [*docs.text.head(60), *EDGE]
+    got = quality.score(spark, frame(spark, texts), spark.read.parquet(f"{SF}/labels.parquet").where("false"))
+    assert got.count() == len(texts)
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    for t in texts:
+        v = np.clip((quality.statistics(t) - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+        want = 1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -700, 700)))
+        assert abs(model.score(quality.statistics(t)[None])[0] - want) < 1e-6
+
+
+def test_toxicity_score_by_plain_pairs(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = toxicity.fit(spark, docs, labels)
+    place = {int(t): k for k, t in enumerate(m.ids)}
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, labels).collect()}
+    assert len(place) > 3
+    for r in docs.limit(80).collect():
+        at = sorted({place[t] for w in toxicity.words_of(r.text) for t in toxicity.terms_of(w) if t in place})
+        z = m.bias + sum(m.weights[k] for k in at) + sum(m.factors[a] @ m.factors[b] for i, a in enumerate(at) for b in at[:i])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def toxic_frame(spark, rows):
+    docs = spark.createDataFrame([(k, t, "n", 1) for k, (t, _) in enumerate(rows)], "doc_id long, text string, y string, term int")
+    return docs, spark.createDataFrame([(k, y, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int, quality int")
+
+
+def test_few_labels_that_one_word_tells(spark):
+    docs, labels = toxic_frame(spark, [(f"word{k} {'scum' if k % 2 else 'calm'} other", k % 2) for k in range(45)])
+    got = toxicity.score(spark, docs, labels).toPandas()
+    assert (got.predicted == got.doc_id % 2).all()
+
+
+def test_a_mention_that_tells_only_beside_an_insult(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(1500):
+        insult, group = rng.random() < 0.4, rng.random() < 0.5
+        filler = [f"w{rng.randrange(300)}" for _ in range(12)] + ["insult"] * insult + ["group"] * group
+        if not insult and rng.random() < 0.35 and not group:
+            filler.append("group")  # as common in clean texts as in toxic ones
+        rng.shuffle(filler)
+        rows.append((" ".join(filler), int(insult and group)))
+    docs, labels = toxic_frame(spark, rows)
+    got = toxicity.score(spark, docs, labels).toPandas().sort_values("doc_id")
+    held = got.held_out.to_numpy()
+    y = np.array([y for _, y in rows])
+    assert (got.predicted.to_numpy()[held] == y[held]).mean() > 0.97
+
+
+def test_classifiers_repeated_rows_long_texts_and_columns(spark):
+    docs, labels = toxic_frame(spark, [(f"a{k % 7} b {'scum' if k % 2 else 'calm'}", k % 2) for k in range(60)])
+    odd = spark.createDataFrame([(1, "scum", "x", 1), (1, "scum", "x", 1), (None, "scum", None, None), (2, "calm " * 300_000, "x", 1), (3, None, "x", 1)], docs.schema)
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 1), (4, None, None), (5, 7, 7)], labels.schema))
+    for module in (toxicity, quality):
+        got = module.score(spark, docs.unionByName(odd), twice).toPandas()
+        assert len(got) == 65 and got.score.between(0, 1).all() and len(got[got.doc_id.isna()]) == 1
+        same = got[got.doc_id == 1].score.round(9)
+        assert len(same) == 3
+    passed = int((toxicity.score(spark, docs.unionByName(odd), twice).toPandas().predicted == 0).sum())
+    kept = toxicity.keep_clean(spark, docs.unionByName(odd), twice)
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == docs.columns and not any("scum" in (t or "") for t in texts) and len(texts) == passed >= 31 and toxicity.keep_clean(spark, docs.limit(0), labels).collect() == []
+
+
 # embeddings
 
 
@@ -600,6 +714,19 @@ def test_leaks_brute_force(spark):
     assert decontaminate.leaks(spark, frame(spark, texts), bench.limit(0)).collect() == []
 
 
+def test_leaks_short_items_repeated_rows_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PER_PASS", 40)
+    items = ["what is the tallest hill", "short one here", "an item of thirty nine characters here"]
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, "So: what is the talest hill?"), (1, "So: what is the talest hill?"), (2, "shart one here"), (None, "short one here"), (3, long + " " + items[2].replace("thirty", "therty") + " " + long), (4, "nothing"), (4, items[0])]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, item_id string, edits int")
+    bench = spark.createDataFrame([*((k, t, "z") for k, t in enumerate(items)), (2, "another text of that id", "z"), (None, "no id", "z")], "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(spark, docs, bench).collect()), key=repr)
+    assert got == sorted([(1, 0, 1), (1, 0, 1), (2, 1, 1), (None, 1, 0), (3, 2, 1), (4, 0, 0)], key=repr)
+    kept = decontaminate.without_leaks(spark, docs, bench)
+    assert [tuple(r)[:2] for r in kept.collect()] == [(None, "short one here")] and kept.columns == docs.columns
+
+
 # pipeline
 
 
@@ -633,5 +760,34 @@ def test_pipeline(spark, tmp_path):
     left = {d: t for d, t in left.items() if not finder.find(decontaminate.normal(t))}
     assert set(got) == set(left)
     model = bpe.Model(vocabulary())
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary())
+    for d, t in left.items():
+        ids = whole.encode(t, add_special_tokens=False).ids
+        assert got[d].n_tokens == len(ids) and got[d].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[d].decoded_sha256 == hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     for d, t in list(left.items())[:50]:
         assert got[d].n_tokens == sum(int(bpe.merge_ragged(model, model.pretokens(c)).sum()) for c in model.chunks(t))
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Each stage on an empty table, and on null and repeated ids, null texts and extra columns with clashing names."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        pd.read_parquet(f"{SF}/{name}.parquet").to_parquet(tmp_path / f"{name}.parquet")
+    kinds = DOCS + ", id string, mark string, item_id string, predicted int, component_id string"
+    rows = [(1, "one text"), (1, "one text"), (1, "another text of that id"), (None, "no id"), (None, None), (2, None), (3, ""), (4, "x " * 500)]
+    docs = spark.createDataFrame([(k, t, None, None, len(t or ""), "a", "b", "c", 1, "d") for k, t in rows], kinds)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.collect() == []
+        ids = {r.doc_id for r in got.collect()}
+        assert None in ids and {1, 2} <= ids
+        if k < 4:
+            assert got.columns == docs.columns == none.columns
+    for name in DOCS.split(", ")[0:1]:
+        assert name.split()[0] in got.columns
+    assert got.count() == len(rows)
