@@ -4,32 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a folder of our own, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="echograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that the driver and all executors share")
+        global _own
+        _own = _own or tempfile.mkdtemp(prefix="echograph-")
+        found = _own
     return found.rstrip("/")
 
 
+_own = ""
+#: The scopes that are open, innermost last; each has the tables made in it.
+_scopes: list[list[Tables]] = []
+
+
 class Tables:
     """Written tables that cut lineage: a lost executor costs the reading task only.
 
     ``cut`` writes a frame as Parquet into the shared folder and reads it back; ``drop`` removes
-    tables that no later plan reads.
+    tables that no later plan reads, ``clear`` all that are left. A result that reads such tables needs them until it is
+    written: who writes it does so within ``scope`` to have them removed then.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/echograph-{uuid.uuid4().hex}", {}
+        self.spark, self.top, self.count, self.paths = spark, f"{shared_dir(spark)}/echograph-{uuid.uuid4().hex}", 0, {}
+        if _scopes:
+            _scopes[-1].append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{len(self.paths)}"
+        path = f"{self.top}/{self.count}"
+        self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
@@ -39,9 +53,26 @@ class Tables:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-                self.paths[path] = (None, None)
+                self._remove(path)
+
+    def clear(self) -> None:
+        self.paths.clear()
+        self._remove(self.top)
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes, at its end, all tables that were made within, but for those of scopes that hold it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for tables in _scopes.pop():
+            tables.clear()
 
 
 def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFrame:
