@@ -108,3 +108,47 @@ def cells(lat: Column, lon: Column, km: float, around: bool = False) -> Column:
     if not around:
         return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
     return F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y"), (z + m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+
+
+def beam_reach_km(rx_lat, rx_lon, tx_lat, tx_lon, max_range, max_excess) -> Column:
+    """How far from the receiver a target in the node's range can be: where an excess limit holds, half of it and the baseline."""
+    limit = finite(max_excess)
+    return F.when(limit.isNotNull() & tx_lat.isNotNull(), F.greatest(limit, F.lit(0.0)) / 2 + haversine_km(rx_lat, rx_lon, tx_lat, tx_lon)).otherwise(or_default(max_range, MAX_RANGE_KM))
+
+
+def _columns(row: Column, step: float) -> Column:
+    """Into how many patches a row of the grid is cut, so that all are about as wide as high."""
+    nearest = F.least(F.abs(row * step), F.abs((row + 1) * step))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(nearest)) * 360 / step).cast("int"))
+
+
+def patch(lat: Column, lon: Column, step: float) -> Column:
+    """The patch of the sphere in which a point lies: a row of ``step`` degrees of latitude, and a column of it."""
+    row = F.floor(lat / step).cast("int")
+    n = _columns(row, step)
+    return F.struct(row.alias("row"), F.least(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360).cast("int"), n - 1).alias("col"))
+
+
+def patches(lat: Column, lon: Column, km: Column, step: float) -> Column:
+    """All patches that hold points within ``km`` of a place: an array, without repeats; poles and date line included."""
+    angle = F.degrees(km / RADIUS_KM)
+    rows = F.sequence(F.floor(F.greatest(lat - angle, F.lit(-90.0)) / step).cast("int"), F.floor(F.least(lat + angle, F.lit(90.0)) / step).cast("int"))
+    # the widest meridians that the cap touches; all where it holds a pole
+    polar = F.abs(lat) + angle >= 90
+    wide = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(angle)) / F.cos(F.radians(lat)))))) + 1e-9
+
+    def of_row(row: Column) -> Column:
+        n = _columns(row, step)
+        first = F.floor((lon - wide) * n / 360).cast("int")
+        count = F.least(n, F.floor((lon + wide) * n / 360).cast("int") - first + 1)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(row.alias("row"), F.pmod(first + k, n).cast("int").alias("col")))
+
+    return F.array_distinct(F.flatten(F.transform(rows, of_row)))
+
+
+def patch_sight(lat: Column, lon: Column, cell: Column, step: float) -> tuple[Column, Column]:
+    """Of a patch seen from a place: the bearing of its middle, and half of the angle that it takes at most (180 from within or close by)."""
+    row, n = cell["row"], _columns(cell["row"], step)
+    middle_lat, middle_lon = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (row + 0.5) * step)), (cell["col"] + 0.5) * 360 / n
+    size, away = math.radians(1.2 * step), haversine_km(lat, lon, middle_lat, middle_lon) / RADIUS_KM
+    return bearing_deg(lat, lon, middle_lat, middle_lon), F.when(away <= size * 1.01, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(size) / F.sin(away)))))

@@ -45,6 +45,23 @@ def within(left: DataFrame, right: DataFrame, km: float, condition: Column | Non
     return pairs.where((F.col("distance_km") <= km) & (F.lit(True) if condition is None else condition))
 
 
+def in_beams(nodes: DataFrame, targets: DataFrame, step: float = 0.05) -> DataFrame:
+    """Every node with every target in its beam and range; the targets' lat and lon come as t_lat and t_lon.
+
+    nodes have rx_lat, rx_lon, tx_lat, tx_lon, azimuth, width, max_range, max_excess; targets lat and lon. A node meets the targets by the patches of
+    the sphere (``step`` degrees) that its own reach and beam touch, so what it's compared with follows what it sees; a target
+    is in one patch. Nodes and targets without a place meet none.
+    """
+    c = lambda x: F.col(x)
+    reach = geo.beam_reach_km(c("rx_lat"), c("rx_lon"), c("tx_lat"), c("tx_lon"), c("max_range"), c("max_excess"))
+    aim = geo.beam_azimuth(c("azimuth"), c("rx_lat"), c("rx_lon"), c("tx_lat"), c("tx_lon"))
+    touched = nodes.where("rx_lat is not null and rx_lon is not null").withColumn("_p", F.explode(geo.patches(c("rx_lat"), c("rx_lon"), reach * (1 + 1e-9), step)))
+    bearing, half = geo.patch_sight(c("rx_lat"), c("rx_lon"), c("_p"), step)
+    facing = touched.where(aim.isNull() | (geo.fold_deg(bearing - aim) <= geo.or_default(c("width"), geo.BEAM_WIDTH_DEG) / 2 + half + 1e-6))
+    have = targets.where("lat is not null and lon is not null").withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"}).withColumn("_p", geo.patch(c("t_lat"), c("t_lon"), step))
+    return facing.join(have, "_p").drop("_p").where(geo.in_beam(c("t_lat"), c("t_lon"), c("rx_lat"), c("rx_lon"), c("tx_lat"), c("tx_lon"), c("azimuth"), c("width"), c("max_range"), c("max_excess")))
+
+
 def by_precedence(frames: list[DataFrame], key: str) -> DataFrame:
     """The union in which a key's row comes from the first frame that has it (one row a key, the smallest in that frame)."""
     whole = None

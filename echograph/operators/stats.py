@@ -62,12 +62,16 @@ def grid(events: DataFrame, kind: str, seq: str, places: int = 1, top: int = 50)
     return whole.select("lat", "lon", "n", F.col("best.kind").alias("dominant")).orderBy(F.desc("n"), "lat", "lon").limit(top)
 
 
-def missed(in_range: DataFrame, detected: DataFrame, node: str, key: str) -> DataFrame:
-    """By node: in range, detected of these, missed, and the rate (0 where none is in range)."""
-    seen = detected.select(node, key).distinct().withColumn("seen", F.lit(1))
-    rows = in_range.select(node, key).distinct().join(seen, [node, key], "left")
-    n, d = F.count("*"), F.count("seen")
-    return rows.groupBy(node).agg(n.alias("in_range"), d.alias("detected"), (n - d).alias("missed"), F.bround((n - d) / n, 3).alias("miss_rate"))
+def missed(in_range: DataFrame, node: str, seen: Column) -> DataFrame:
+    """By node, of the targets in its range (a row each): how many, those seen, those missed, and the rate of these."""
+    n, d = F.count("*"), F.count_if(seen)
+    return in_range.groupBy(node).agg(n.alias("in_range"), d.alias("detected"), (n - d).alias("missed"), F.bround((n - d) / n, 3).alias("miss_rate"))
+
+
+def fleet_miss_rate(nodes: DataFrame, least: int = 1) -> DataFrame:
+    """Of ``missed``: the mean rate over nodes with ``least`` targets in range, the nodes that count, and the rate over all targets together."""
+    some = F.col("in_range") >= least
+    return nodes.agg(F.bround(F.avg(F.when(some, F.col("miss_rate"))), 4).alias("mean_rate"), F.count_if(some).alias("nodes"), F.bround(F.try_divide(F.sum("missed"), F.sum("in_range")), 4).alias("whole_rate"))
 
 
 def weighted_mean(df: DataFrame, mean: str, n: str, least: int) -> DataFrame:

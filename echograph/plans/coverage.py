@@ -40,27 +40,29 @@ def node_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _in_range(spark: SparkSession, sf: str) -> DataFrame:
-    """(node_id, hex) of aircraft in a node's beam. A node's reach bounds the distance, so they meet by cubes of that edge."""
-    n, a = su.sites(spark, sf), su.targets(spark, sf).select("hex", "lat", "lon")
-    reach = 130.0  # over the largest range and half of (excess + 2 * baseline) in these settings
-    near = joins.within(n.withColumnsRenamed({"rx_lat": "lat", "rx_lon": "lon"}), a, reach)
-    c = lambda x: F.col(x)
-    ok = geo.in_beam(c("r_lat"), c("r_lon"), c("lat"), c("lon"), c("tx_lat"), c("tx_lon"), c("azimuth"), c("width"), c("max_range"), c("max_excess"))
-    return near.where(ok).select("node_id", "hex")
+    """(node_id, hex) of aircraft in a node's beam."""
+    return joins.in_beams(su.sites(spark, sf), su.targets(spark, sf).select("hex", "lat", "lon")).select("node_id", "hex")
 
 
-@query(f"""WITH {su.SITES}, {su.TARGETS}, b AS (SELECT node_id, hex FROM n, a WHERE {IN_BEAM})
-SELECT node_id, count(*) AS in_range, count(*) FILTER (hex % 3 = node_id % 3) AS detected, count(*) FILTER (hex % 3 <> node_id % 3) AS missed, round_even(count(*) FILTER (hex % 3 <> node_id % 3) / count(*)::DOUBLE, 3) AS miss_rate FROM b GROUP BY node_id""")
+SEEN = "hex % 3 = node_id % 3"
+MISSED = f"""WITH {su.SITES}, {su.TARGETS}, b AS (SELECT node_id, hex FROM n, a WHERE {IN_BEAM}),
+m AS (SELECT node_id, count(*) AS in_range, count(*) FILTER ({SEEN}) AS detected, count(*) FILTER (NOT {SEEN}) AS missed, round_even(count(*) FILTER (NOT {SEEN}) / count(*)::DOUBLE, 3) AS miss_rate FROM b GROUP BY node_id)"""
+
+
+@query(f"{MISSED} SELECT * FROM m")
 def missed_detections(spark: SparkSession, sf: str) -> DataFrame:
-    reach = _in_range(spark, sf)
-    return stats.missed(reach, reach.where(F.col("hex") % 3 == F.col("node_id") % 3), "node_id", "hex")
+    return stats.missed(_in_range(spark, sf), "node_id", F.expr(SEEN))
+
+
+@query(f"{MISSED} SELECT round_even(avg(miss_rate) FILTER (in_range >= 5), 4) AS mean_rate, count(*) FILTER (in_range >= 5) AS nodes, round_even(sum(missed) / sum(in_range)::DOUBLE, 4) AS whole_rate FROM m")
+def fleet_miss_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.fleet_miss_rate(missed_detections(spark, sf), 5)
 
 
 @query(f"WITH {su.SITES}, {su.TARGETS}, b AS (SELECT node_id, hex FROM n, a WHERE {IN_BEAM}), d AS (SELECT hex FROM b GROUP BY hex HAVING count(*) < 4) SELECT hex FROM a WHERE hex NOT IN (SELECT hex FROM b) UNION ALL SELECT hex FROM d")
 def thinly_covered_aircraft(spark: SparkSession, sf: str) -> DataFrame:
-    reach, a = _in_range(spark, sf), su.targets(spark, sf)
-    none = a.join(reach, "hex", "left_anti").select("hex")
-    return none.unionByName(reach.groupBy("hex").count().where("count < 4").select("hex"))
+    seen = _in_range(spark, sf).groupBy("hex").count()
+    return su.targets(spark, sf).select("hex").join(seen, "hex", "left").where("count is null or count < 4").select("hex")
 
 
 @query(f"""WITH {su.TARGETS}, t AS (SELECT s_suppkey AS track, {su.lat_sql("s_suppkey * 11")} AS lat, {su.lon_sql("s_suppkey * 13")} AS lon FROM supplier),
