@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echograph.functions import geo
+from echograph.functions import geo, radio
 
 from .links import Tables, components
 
@@ -109,3 +109,42 @@ def outcome(rms_delay: Column, rms_doppler: Column, displacement_km: Column, age
     """The first gate that a solve fails, or published. Not a number fails none of these, as in comparisons elsewhere."""
     over = lambda c, most: F.coalesce(geo.finite(c) > most, F.lit(False))
     return F.when(over(age_s, 45), "stale").when(over(rms_delay, 3), "rejected_rms_delay").when(over(rms_doppler, 200), "rejected_rms_doppler").when(over(displacement_km, 2), "rejected_displacement").otherwise("published")
+
+
+def public(rows: DataFrame) -> DataFrame:
+    """The columns that a feed shows, with what stands for missing ones."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    kinds = {"multinode": F.lit(False), "n_nodes": F.lit(1), "contributing_node_ids": none("string"), "recent_positions": none("struct<lat:double,lon:double,alt:double,ts:double>")}
+    names = ["hex", "lat", "lon", "alt_baro", "gs", "track", "position_source", "multinode", "n_nodes", "contributing_node_ids", "flight", "node_id", "target_class", "delay_us", "doppler_hz", "rms_delay", "rms_doppler", "recent_positions"]
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    return rows.select(*[(F.coalesce(have(c), kinds[c]) if c in kinds and c in rows.columns else kinds[c] if c in kinds else have(c)).alias(c) for c in names])
+
+
+def solve_rows(solves: DataFrame, now_s: Column, most_glide_s: float = 30.0) -> DataFrame:
+    """Feed rows of solves (key, lat, lon, alt_m, vel_east, vel_north, n_nodes, n_measurements, rms_delay, rms_doppler, timestamp_ms, max_velocity_ms).
+
+    Feet, knots and degrees from 0 to 360, rounded half to even as elsewhere; the place is carried on with the velocity for the solve's age, ``most_glide_s`` at
+    most; the strength stands for the fit: minus 1 over the delay's residual (0.01 at least).
+    """
+    c = F.col
+    speed, age = F.sqrt(c("vel_east") * c("vel_east") + c("vel_north") * c("vel_north")), now_s - c("timestamp_ms") / 1000
+    glide = F.when(c("timestamp_ms") != 0, F.greatest(F.lit(0.0), F.least(age, F.lit(most_glide_s)))).otherwise(0.0)
+    lat, lon = geo.moved(F.bround("lat", 5), F.bround("lon", 5), c("vel_east") * glide, c("vel_north") * glide)
+    feet = F.bround(c("alt_m") / geo.FOOT_M).cast("long")
+    return solves.select(
+        radio.multinode_id(c("key")).alias("hex"), F.lit("multinode_solve").alias("position_source"), F.concat(F.lit("MN"), c("n_nodes").cast("string"), F.lit("N")).alias("flight"), feet.alias("alt_baro"),
+        F.bround(speed * 1.94384, 1).alias("gs"), F.bround(F.pmod(F.degrees(F.atan2("vel_east", "vel_north")), F.lit(360.0)), 1).alias("track"), F.bround(lat, 5).alias("lat"), F.bround(lon, 5).alias("lon"),
+        F.when(c("timestamp_ms") != 0, F.bround(F.greatest(F.lit(0.0), age), 1)).otherwise(0.0).alias("seen"), c("n_measurements").alias("messages"),
+        (-F.bround(1 / F.greatest(F.coalesce("rms_delay", F.lit(1.0)), F.lit(0.01)), 1)).alias("rssi"), F.lit(True).alias("multinode"), "n_nodes", F.bround("rms_delay", 3).alias("rms_delay"), F.bround("rms_doppler", 2).alias("rms_doppler"),
+        F.bround(F.greatest(speed, F.coalesce("max_velocity_ms", F.lit(0.0))), 1).alias("max_velocity_ms"),
+    )
+
+
+def union_first(sections: list[DataFrame], key: str = "hex") -> DataFrame:
+    """The feed's sections as one, an aircraft's row from the first that has it (of one section's rows the first by seq); section tells which."""
+    whole = None
+    for k, part in enumerate(sections):
+        part = part.withColumn("section", F.lit(k))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    columns = [c for c in whole.columns if c != key]
+    return whole.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("section", "seq")).alias("_b")).select(key, *[F.col("_b." + c).alias(c) for c in columns])
