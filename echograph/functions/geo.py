@@ -48,7 +48,7 @@ def reach_km(excess: Column, baseline: Column, from_tx_deg: Column) -> Column:
 def bistatic_angle_deg(to_rx: Column, to_tx: Column, baseline: Column) -> Column:
     """At the target, by the law of cosines; 180 where the target is at a site."""
     ratio = F.try_divide(to_rx * to_rx + to_tx * to_tx - baseline * baseline, 2 * to_rx * to_tx)
-    return F.coalesce(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))), F.lit(180.0))
+    return F.when(ratio.isNull(), 180.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))))
 
 
 def east_north_m(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .links import Tables
+
 
 def block(error: Column, places: int = 4) -> list[Column]:
     """Count, mean, median, p95 (linear between neighbours) and max, rounded half to even."""
@@ -30,13 +32,21 @@ def at_rank(values: Column, share: float | None) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], value: str, share: float = 0.9, of_all: bool = False) -> DataFrame:
-    """The median and the share by whole positions, without gathering a group's values: positions are counted by a window over the grouped counts of equal values.
+    """n, the median and the share by whole positions, without a group's values in one task.
 
-    The share's position is int(share * (n - 1)), or int(share * n) with ``of_all``.
+    Equal values count as one row. These are range-partitioned by group and value; a group's positions go on from those of the partitions before (a row for each
+    group and partition that it touches). The share's position is int(share * (n - 1)), or int(share * n) with ``of_all``.
     """
+    tables = Tables(df.sparkSession)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    line = Window.partitionBy(*by).orderBy(value)
-    seen = counts.withColumn("upto", F.sum("count").over(line)).withColumn("n", F.sum("count").over(Window.partitionBy(*by)))
+    dealt = tables.cut(counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "_p").agg(F.sum("count").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = parts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_p").alias("_part"), F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_n").over(group).alias("n"))
+    same = F.col("_p") == F.col("_part")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    seen = dealt.withColumn("_k", F.sum("count").over(Window.partitionBy(*by, "_p").orderBy(value))).join(before, same).withColumn("upto", F.col("_k") + F.col("_b"))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
     return seen.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(share) * (F.col("n") - (0 if of_all else 1)))).alias("p90"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from echograph.functions import geo, radio
 
+from .links import Tables
+
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the place of each row over the whole table, in two steps that leave no task with all the rows.
@@ -14,9 +16,11 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     Rows are range-partitioned in the order; each is numbered within its partition and moved up by the
     sizes of the partitions before (one small row a partition).
     """
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    tables = Tables(df.sparkSession)
+    # written, so that the numbers of a partition and its size are of the same rows whatever is read again
+    dealt = tables.cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.max("_k").alias("_n"))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_k") + F.col("_b")).cast("long")).drop("_p", "_k", "_b")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echograph.functions import arcs, checks, gates, geo
 from echograph.operators import feed, health
+from echograph.sources import archive
 
 from . import surrogates as su
 
@@ -314,3 +315,32 @@ def solve_beam_failures(spark: SparkSession, sf: str) -> DataFrame:
     found = health.beam_failures(solves, nodes)
     one = F.get("failures", 0)
     return found.select("key", F.size("failures").cast("long").alias("failures"), one["node_id"].alias("first_node"), one["rule"].alias("rule"), one["range_km"].alias("range_km"))
+
+
+_PART = "lpad(CAST(o_orderkey % {0} + 1 AS STRING), 2, '0')"
+KEY = f"CASE WHEN o_orderkey % 2 = 0 THEN '2024/' || {_PART.format(12)} || '/' || {_PART.format(28)} || '/n' ELSE 'year=2024/month=' || {_PART.format(12)} || '/day=' || {_PART.format(28)} || '/node_id=n' END || CAST(o_custkey % 10 AS STRING) || '/part-' || CAST(o_orderkey AS STRING) || '.parquet'"
+
+
+@query(f"""WITH f AS (SELECT {KEY} AS key, o_orderkey * 7919 % 1000000 AS made FROM orders), p AS (SELECT *, regexp_replace(string_split(key, '/')[2], '^[a-z_]+=', '') AS month, regexp_replace(string_split(key, '/')[4], '^[a-z_]+=', '') AS node_id FROM f)
+SELECT key, node_id, CASE WHEN (1000000 - made) / 86400.0::DOUBLE > 1 AND made % 3 > 0 THEN CASE WHEN (1000000 - made) / 86400.0::DOUBLE > 3 THEN 'upload and delete' ELSE 'upload' END WHEN (1000000 - made) / 86400.0::DOUBLE > 3 THEN 'delete' ELSE 'keep' END AS action
+FROM p WHERE month = '03' AND node_id = 'n4' ORDER BY made DESC, key DESC LIMIT 50 OFFSET 2""")
+def archive_page(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.col("o_orderkey") * 7919 % 1000000
+    files = archive.dated_keys(su.table(spark, sf, "orders").select(F.expr(KEY).alias("key"), at.alias("modified")))
+    page = archive.listed(files, "2024/03", "n4", 50, 2)
+    return archive.lifecycle(page, F.lit(1000000), F.col("modified") % 3 == 0).select("key", "node_id", "action")
+
+
+LICENCE = "'|W' || p_partkey || '|' || CASE WHEN p_partkey % 9 = 0 THEN 'none' ELSE '9' || (p_partkey % 8) || '.5  MHz' END || '|FM|' || (p_partkey % 40) || '|||||' || CASE WHEN p_partkey % 7 = 0 THEN 'CP' ELSE 'LIC' END || '|NEW TOWN|SC|||' || (p_partkey % 50) || '.   kW||' || (p_partkey % 300) || '.0|||' || CASE WHEN p_partkey % 2 = 0 THEN 'N' ELSE 'S' END || '|' || (p_partkey % 80) || '|30|' || (p_partkey % 60) || '.5|W|082|15|00.00' || '||||||||||'"
+
+
+@query(f"""WITH l AS (SELECT string_split({LICENCE}, '|') AS f FROM part), b AS (SELECT f, f[5]::INT AS ch, unnest(['tv', 'fm']) AS kind FROM l WHERE f[10] = 'LIC'),
+m AS (SELECT *, CASE WHEN kind = 'fm' THEN try_cast(regexp_extract(f[3], '([0-9.]+) *MHz', 1) AS DOUBLE) WHEN ch BETWEEN 2 AND 4 THEN 57 + (ch - 2) * 6 WHEN ch BETWEEN 5 AND 6 THEN 79 + (ch - 5) * 6 WHEN ch BETWEEN 7 AND 13 THEN 177 + (ch - 7) * 6 WHEN ch BETWEEN 14 AND 36 THEN 473 + (ch - 14) * 6 END AS mhz, regexp_extract(f[15], '([0-9.]+) *kW', 1)::DOUBLE AS erp FROM b)
+SELECT f[2] AS callsign, kind, mhz, round_even(CASE WHEN erp > 0 THEN 10 * log10(erp * 1000) + 32.15 END, 6) AS eirp_dbm, f[17]::DOUBLE AS height_m, 'New Town, SC' AS place, round_even(CASE WHEN f[20] = 'S' THEN -1 ELSE 1 END * (f[21]::DOUBLE + 0.5 + f[23]::DOUBLE / 3600), 9) AS lat FROM m WHERE mhz IS NOT NULL""")
+def licensed_stations(spark: SparkSession, sf: str) -> DataFrame:
+    lines = su.table(spark, sf, "part").select(F.expr(LICENCE).alias("value"))
+    both = None
+    for kind in ("tv", "fm"):
+        part = archive.licence_lines(lines, kind).select("callsign", F.lit(kind).alias("kind"), "mhz", F.bround("eirp_dbm", 6).alias("eirp_dbm"), "height_m", "place", F.bround("lat", 9).alias("lat"))
+        both = part if both is None else both.unionByName(part)
+    return both

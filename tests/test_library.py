@@ -265,3 +265,94 @@ def test_sliding_limit_carries_its_state():
     whole, _ = step(t, None)
     first, held = step(t.iloc[:3], None)
     assert list(whole["seq"]) == list(first["seq"]) + list(step(t.iloc[3:], held)[0]["seq"]) == [0, 1, 3, 5]
+
+
+def in_sight(n, t):
+    """A plain reading of the beam rule for one node and target."""
+    def km(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+    def bearing(a, b, c, d):
+        y = math.sin(math.radians(d - b)) * math.cos(math.radians(c))
+        x = math.cos(math.radians(a)) * math.sin(math.radians(c)) - math.sin(math.radians(a)) * math.cos(math.radians(c)) * math.cos(math.radians(d - b))
+        return math.degrees(math.atan2(y, x)) % 360
+
+    _, rx, ry, tx, ty, azimuth, width, most, excess = n
+    if excess is not None:
+        near = km(t[1], t[2], rx, ry) + km(t[1], t[2], tx, ty) - km(rx, ry, tx, ty) <= excess
+    else:
+        near = km(rx, ry, t[1], t[2]) <= most
+    aim = azimuth if azimuth is not None else (bearing(rx, ry, tx, ty) + 90) % 360
+    return near and abs((bearing(rx, ry, t[1], t[2]) - aim + 180) % 360 - 180) <= width / 2
+
+
+@pytest.mark.parametrize("middle", [(0.0, 179.9), (34.5, -82.5), (89.6, 10.0), (-89.9, -120.0), (60.0, 0.0)])
+def test_in_beams_anywhere_on_the_sphere(spark, middle):
+    rng = random.Random(str(middle))
+    spot = lambda r: (max(-89.99, min(89.99, middle[0] + rng.uniform(-r, r))), (middle[1] + rng.uniform(-r, r) * (20 if abs(middle[0]) > 80 else 1) + 180) % 360 - 180)
+    nodes = [(k, *spot(0.6), *spot(0.6), rng.choice([None, rng.uniform(0, 360)]), rng.choice([30.0, 90.0, 359.0]), rng.uniform(5, 90), rng.choice([None, rng.uniform(1, 60)])) for k in range(25)]
+    targets = [(k, *spot(1.2)) for k in range(300)]
+    n = spark.createDataFrame(nodes, "node_id long, rx_lat double, rx_lon double, tx_lat double, tx_lon double, azimuth double, width double, max_range double, max_excess double")
+    t = spark.createDataFrame([*targets, (900, None, 1.0)], "hex long, lat double, lon double")
+    got = {(r.node_id, r.hex) for r in joins.in_beams(n, t).collect()}
+    want = {(a[0], b[0]) for a in nodes for b in targets if in_sight(a, b)}
+    assert got == want and len(want) > 20
+
+
+def test_no_pair_in_range_is_lost_on_a_larger_table(spark):
+    from echograph.plans import coverage
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    want = rows(con.execute(coverage.SQL["missed_detections"]).df())
+    got = coverage.missed_detections(spark, sf).toPandas()
+    assert rows(got) == want and got.in_range.sum() == sum(r[sorted(got.columns).index("in_range")] for r in want) > 400_000
+
+
+def test_legacy_files_into_the_archive(spark, tmp_path):
+    (tmp_path / "old/2024/01/02/n1").mkdir(parents=True)
+    frame = {"timestamp": 1704164645000, "delay": [1.5, 2.5], "doppler": [3.0, 4.0], "snr": [9.0], "adsb": [None, {"hex": "abc123", "lat": 1.0, "lon": 2.0, "alt_baro": "ground"}]}
+    files = {"a": {"node_id": " n1 ", "timestamp": "2024-01-02T03:04:05Z", "detections": [frame, dict(frame, timestamp=1704164646000)]}, "b": {"detections": [dict(frame, _node_id="007")]}, "c": {"node_id": "n2", "detections": []}, "d": {"timestamp": "odd", "detections": [dict(frame, timestamp=None), frame]}}
+    for name, payload in files.items():
+        (tmp_path / f"old/2024/01/02/n1/{name}.json").write_text(json.dumps(payload))
+    archive.backfill(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    got = archive.read_detections(spark, str(tmp_path / "new")).toPandas()
+    assert sorted(got.node_id.value_counts().to_dict().items()) == [("007", 2), ("n1", 4), ("unknown", 4)]
+    assert set(got[got.node_id == "n1"].ingest_ts_ms) == {1704164645000} and set(got[got.node_id == "unknown"].ingest_ts_ms) == {1704164645000}
+    assert set(got[got.adsb_hex == "abc123"].detection_index) == {1}
+    kept = archive.archive_files(spark, str(tmp_path / "old")).toPandas()
+    assert sorted(kept.key) == [f"2024/01/02/n1/{x}.json" for x in "abcd"] and set(kept.node_id) == {"n1"}
+    found = archive.archive_files(spark, str(tmp_path / "new"))
+    assert archive.listed(found, "2024/01", "007").count() == 1 and archive.listed(found, "2023").count() == 0
+    acts = archive.lifecycle(found, F.current_timestamp(), F.lit(False)).select("action").distinct().collect()
+    assert [r.action for r in acts] == ["keep"]
+
+
+def test_tracks_are_written_by_day(spark, tmp_path):
+    row = spark.createDataFrame([(1704164645000, 1704164644000, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 3, "a,b", None, 0.1, 0.2, "aircraft", "extra")], archive.TRACKS + ", other string")
+    archive.write_tracks(row, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path)).collect()
+    assert len(got) == 1 and (got[0].year, got[0].month, got[0].day) == ("2024", "01", "02") and got[0].contributing_node_ids == "a,b"
+
+
+def test_row_gates_and_ids(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).collect()[0].v
+    lit = F.lit
+    assert value(radio.synthetic(lit("test-1"))) and not value(radio.synthetic(lit("ret1"))) and value(radio.config_hash(lit("x"))) == "2d711642b726b044"
+    assert value(geo.valid_latlon(lit(0.0), lit(1.0))) and not value(geo.valid_latlon(lit(0.0), lit(0.0))) and not value(geo.valid_latlon(lit(None).cast("double"), lit(0.0)))
+    assert value(F.bround(geo.bistatic_angle_deg(lit(3.0), lit(4.0), lit(5.0)), 6)) == 90 and value(geo.bistatic_angle_deg(lit(0.0), lit(4.0), lit(4.0))) == 180
+    assert value(radio.target_class(lit(None).cast("string"), lit(50.0), lit(500.0))) == "drone" and value(radio.target_class(lit("bird"), lit(50.0), lit(500.0))) == "bird"
+    assert value(feed.held_up(lit(2), lit(1), lit(1.0))) is False and value(feed.held_up(lit(3), lit(1), lit(4.0))) is True and value(feed.held_up(lit(3), lit(1), lit(6.0))) is False
+    outcomes = [(1.0, 10.0, 1.0, 1.0), (4.0, 10.0, 1.0, 1.0), (1.0, 300.0, 1.0, 1.0), (1.0, 10.0, 3.0, 1.0), (9.0, 10.0, 1.0, 50.0), (float("nan"), 10.0, 1.0, 1.0)]
+    assert [value(feed.outcome(*map(lit, x))) for x in outcomes] == ["published", "rejected_rms_delay", "rejected_rms_doppler", "rejected_displacement", "stale", "published"]
+    rows = spark.createDataFrame([("a", ["x"]), ("b", ["a", "z"]), ("c", None), ("d", [])], "node_id string, contributing_node_ids array<string>")
+    assert sorted(r.node_id for r in rows.where(feed.in_scope(["a"])).collect()) == ["a", "b"]
+    chain = value(radio.chain_hash(F.array(lit("p"), lit("q"))))
+    import hashlib
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert chain == h(h(":p") + ":q")
