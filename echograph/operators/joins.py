@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echograph.functions import geo
 
+from .links import Tables
+
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, at: str, to: str, within: float, carry: list[str], left_id: str) -> DataFrame:
     """Each left row with the right row of its key nearest in time, at most ``within`` away; of equally near ones the earlier.
@@ -75,21 +76,25 @@ def by_precedence(frames: list[DataFrame], key: str) -> DataFrame:
 def greedy_match(pairs: DataFrame, group: list[str], left: str, right: str, cost: str) -> DataFrame:
     """One-to-one: pairs of a group in order of (cost, left, right), each side used once.
 
-    A group is a node's or a region's candidates at one refresh, bounded by what it can see; the order of claims is
-    sequential by definition, so a group is one task's work.
+    A pair that comes first among all that are left of its left and of its right side is taken whatever else is, as
+    nothing before it can use either: each round takes all such pairs and drops those of the sides used. So the
+    rounds give what claiming one by one does, by partial aggregations and joins; no group meets in one task. A round takes the first
+    pair of each group at least, in practice most; pairs whose costs fall along a chain take as many rounds as the chain has pairs. Repeated pairs count once.
+    Pairs without a cost or a side go. An empty table gives an empty result.
     """
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, keep = set(), set(), []
-        for k, a, b in rows.sort_values([cost, left, right], kind="stable")[[left, right]].itertuples():
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                keep.append(k)
-        return rows.loc[keep]
-
-    columns = [*group, left, right, cost]
-    return pairs.select(*columns).groupBy(*group).applyInPandas(claim, pairs.select(*columns).schema)
+    tables, columns = Tables(pairs.sparkSession), [*group, left, right, cost]
+    rest = pairs.select(*columns).where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(cost).isNotNull())
+    rest, taken = tables.cut(rest.distinct()), None
+    place = F.struct(cost, left, right)
+    while not rest.isEmpty():
+        first = lambda side: rest.groupBy(*group, side).agg(F.min(place).alias("_m"))  # noqa: B023, E731
+        a, b = (first(side).select(*group, F.col("_m").alias("_p")) for side in (left, right))
+        won = tables.cut(a.join(b, [*group, "_p"], "left_semi").select(*group, F.col(f"_p.{left}").alias(left), F.col(f"_p.{right}").alias(right), F.col(f"_p.{cost}").alias(cost)))
+        left_over = rest.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti").select(*columns)
+        after = tables.cut(left_over)
+        tables.drop(rest)
+        taken, rest = won if taken is None else taken.unionByName(won), after
+    return (rest if taken is None else taken).select(*columns)
 
 
 def latest(df: DataFrame, key: str, at: str, carry: list[str]) -> DataFrame:

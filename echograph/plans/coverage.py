@@ -176,9 +176,14 @@ def archive_keys(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), radio.partition_value(F.concat(F.lit("node_id=n"), F.col("o_orderkey").cast("string"))).alias("node"), F.date_format("o_orderdate", "'year='yyyy'/month='MM'/day='dd").alias("path"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {su.TARGETS}, t AS (SELECT s_suppkey AS track, s_nationkey AS region, {su.lat_sql("s_suppkey * 11")} AS lat, {su.lon_sql("s_suppkey * 13")} AS lon FROM supplier),
+p AS (SELECT region, track, hex, {su.km_sql("t.lat", "t.lon", "a.lat", "a.lon")} AS km FROM t, a), o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY km, track, hex) AS i FROM p WHERE km <= 12),
+r AS (SELECT region, i, track, hex, km, true AS taken, [track] AS tracks, [hex] AS hexes FROM o WHERE i = 1
+ UNION ALL SELECT o.region, o.i, o.track, o.hex, o.km, NOT list_contains(r.tracks, o.track) AND NOT list_contains(r.hexes, o.hex), CASE WHEN NOT list_contains(r.tracks, o.track) AND NOT list_contains(r.hexes, o.hex) THEN list_append(r.tracks, o.track) ELSE r.tracks END,
+  CASE WHEN NOT list_contains(r.tracks, o.track) AND NOT list_contains(r.hexes, o.hex) THEN list_append(r.hexes, o.hex) ELSE r.hexes END FROM r JOIN o ON o.region = r.region AND o.i = r.i + 1)
+SELECT region, track, hex, round_even(km, 6) AS distance_km FROM r WHERE taken""")
 def greedy_solve_matching(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     t = su.table(spark, sf, "supplier").select(k.alias("track"), F.col("s_nationkey").alias("region"), su.lat(k * 11).alias("lat"), su.lon(k * 13).alias("lon"))
     pairs = joins.within(t, su.targets(spark, sf).select("hex", "lat", "lon"), 12.0)
-    return joins.greedy_match(pairs, ["region"], "track", "hex", "distance_km")
+    return joins.greedy_match(pairs, ["region"], "track", "hex", "distance_km").withColumn("distance_km", F.bround("distance_km", 6))

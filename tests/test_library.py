@@ -356,3 +356,17 @@ def test_row_gates_and_ids(spark):
 
     h = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert chain == h(h(":p") + ":q")
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_greedy_match_is_claiming_one_by_one(spark, groups):
+    rng = random.Random(groups)
+    pairs = [(rng.randrange(groups), rng.randrange(15), rng.randrange(15), float(rng.randrange(6))) for _ in range(160)] + [(0, 50 + k, 50 + k, 9.0 - k / 10) for k in range(6)] + [(0, 50 + k, 51 + k, 9.0 - k / 10 - 0.05) for k in range(6)]
+    used, want = set(), set()
+    for g, a, b, c in sorted(set(pairs), key=lambda p: (p[3], p[1], p[2])):
+        if (g, "l", a) not in used and (g, "r", b) not in used:
+            used |= {(g, "l", a), (g, "r", b)}
+            want.add((g, a, b, c))
+    df = spark.createDataFrame([*pairs, (0, None, 3, 1.0), (0, 3, 4, None)], "g long, a long, b long, c double")
+    assert {tuple(r) for r in joins.greedy_match(df, ["g"], "a", "b", "c").collect()} == want
+    assert joins.greedy_match(df.limit(0), ["g"], "a", "b", "c").collect() == []
