@@ -16,8 +16,8 @@ LEAST, GRAM = 50, 25
 WINDOW = LEAST - GRAM + 1
 #: Rows that one task compares at a time.
 ROWS = 4096
-#: Suffixes of one task when they are sorted.
-PER_TASK = 20_000
+#: Suffixes of one task when they are sorted; a gram of more kinds is dealt by its suffixes' words, others whole. Tasks at most.
+PER_TASK, MOST_TASKS = 20_000, 20_000
 
 
 def _least_at(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,17 +88,18 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, mark, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
             got, at = Read(text), None
             at = points(got.raw)
-            for k in np.flatnonzero(np.isin(got.first[:-1], wanted)).tolist():
+            hot = {w["word"]: w["hot"] for w in wanted}
+            for k in np.flatnonzero(np.isin(got.first[:-1], list(hot))).tolist():
                 p, a, b = int(got.at[k]), int(got.first[k]), int(got.first[k + 1])
                 here = np.arange(a, b)
                 left = b"".join(got.bytes_of(j, j + 1) for j in range(p - 1, a - 1, -1))
                 hashes = spans(got.sums, here, here + LEAST).view(np.int64)
-                rows.append((got.bytes_of(p, p + LEAST), left, int(got.grams[k].view(np.int64)), key, mark, p, a, hashes.tolist(), at[got.starts[here]].tolist(), at[got.ends[here + LEAST - 1]].tolist()))
+                rows.append((got.bytes_of(p, p + LEAST), left, hot[a], int(got.grams[k].view(np.int64)), key, mark, p, a, hashes.tolist(), at[got.starts[here]].tolist(), at[got.ends[here + LEAST - 1]].tolist()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.binary(), pa.binary(), *[pa.int64()] * 3, pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3])], ["suffix", "left", "gram", "id", "mark", "at", "word", "hashes", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.binary(), pa.binary(), pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3])], ["suffix", "left", "hot", "gram", "id", "mark", "at", "word", "hashes", "starts", "ends"])
 
 
-_SPELLED = "suffix binary, left binary, gram long, id long, mark long, at int, word int, hashes array<long>, starts array<long>, ends array<long>"
+_SPELLED = "suffix binary, left binary, hot boolean, gram long, id long, mark long, at int, word int, hashes array<long>, starts array<long>, ends array<long>"
 
 
 def shared_words(one: bytes, two: bytes) -> int:
@@ -110,9 +111,9 @@ def shared_words(one: bytes, two: bytes) -> int:
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, the passages that can stand elsewhere too, each by its hash and place.
+    """Of suffixes sorted by gram and words, the passages that can stand elsewhere too, each by its hash and place.
 
-    In sorted order a suffix shares the most words with a neighbour. If it shares r of them,
+    In sorted order a suffix shares the most words with a neighbour (those of other grams differ within GRAM words). If it shares r of them,
     a passage of LEAST words that begins l words left of the suffix can only repeat if
     LEAST - l <= r: so a match to the right is extended to the left by LEAST - r words at least. The first and the
     last suffix of a task have a neighbour in another task; they keep all their passages.
@@ -176,7 +177,7 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     LEAST words hold WINDOW grams; the least of their hashes chooses the suffix that stands for them.
     Suffixes whose first GRAM words stand nowhere else end here. Those that are equal in all the words
     that they are chosen for, to the left and the right, are one kind and counted as a whole. Where a gram has several kinds,
-    one suffix of each is spelled out and sorted (by range, ties by the words to the left); each is
+    one suffix of each is spelled out and sorted (by range: gram, words, words to the left); each is
     compared with its neighbours word by word, which says how far it matches to the right, and so
     how far a match must extend to the left to make a passage. The neighbour in suffix order needn't be the one that matches
     farthest to the left, so the extension to the left is settled by grouping: passages equal in their gram's hash and their own (two
@@ -192,19 +193,21 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     tables.drop(runs, shared)
     place = F.struct("id", "mark", "word", "windows", "start", "end")
     kinds = tables.cut(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.max(F.struct("id", "mark", "word")).alias("last")))
-    several = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    several = tables.cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > PER_TASK).alias("hot")))
     copied = kinds.where(F.struct("first.id", "first.mark", "first.word") != F.col("last"))
     # of equal suffixes: all places, and all but the first
     later = F.struct("id", "mark", "word") != F.struct("first.id", "first.mark", "first.word")
     whole = tables.cut(near.join(copied.select("gram", "context", "first"), ["gram", "context"]).select("id", "mark", "start", "end", later.alias("again")))
     tables.drop(near)
     # of suffixes that share a gram and differ elsewhere: one of each kind
-    open_kinds = kinds.join(several, "gram").select("first.id", "first.mark", "first.word")
-    wanted = open_kinds.groupBy("id", "mark").agg(F.collect_list("word").alias("wanted"))
+    open_kinds = kinds.join(several, "gram").select("first.id", "first.mark", "first.word", "hot")
+    wanted = open_kinds.groupBy("id", "mark").agg(F.collect_list(F.struct("word", "hot")).alias("wanted"))
     spelled = tables.cut(docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted").mapInArrow(_spelled, _SPELLED))
     tables.drop(kinds, several)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-spelled.count() // PER_TASK))
-    found = tables.cut(spelled.repartitionByRange(tasks, "suffix", "left").sortWithinPartitions("suffix", "left").mapInArrow(_extended, "gram long, hash long, id long, mark long, word int, start long, end long"))
+    tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-spelled.count() // PER_TASK)))
+    # in order of gram, suffix and what is left of it; the ranges are told by the gram alone where that has few kinds, so that what is sampled for them is small
+    words_of_hot = [F.when(F.col("hot"), F.col(c)) for c in ("suffix", "left")]
+    found = tables.cut(spelled.repartitionByRange(tasks, "gram", *words_of_hot).sortWithinPartitions("gram", "suffix", "left").mapInArrow(_extended, "gram long, hash long, id long, mark long, word int, start long, end long"))
     tables.drop(spelled)
     at = F.struct("id", "mark", "word")
     equal = tables.cut(found.groupBy("gram", "hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("gram", "hash", "first"))
