@@ -59,19 +59,16 @@ def nearest_on(lat: Column, lon: Column, line: Column) -> Column:
 
     The nearest is sought in the plane about the point, the distance told on the sphere.
     """
-    scale = F.cos(F.radians(lat))
-    x, y = lambda p: (p["lon"] - lon) * scale, lambda p: p["lat"] - lat
-
-    def of_segment(k: Column) -> Column:
-        a, b = F.get(line, k), F.get(line, k + 1)
-        dx, dy = x(b) - x(a), y(b) - y(a)
-        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(x(a) * dx + y(a) * dy), dx * dx + dy * dy))), F.lit(0.0))
-        qx, qy = x(a) + t * dx, y(a) + t * dy
-        return F.struct((qx * qx + qy * qy).alias("d"), k.alias("k"), (a["lat"] + t * (b["lat"] - a["lat"])).alias("lat"), (a["lon"] + t * (b["lon"] - a["lon"])).alias("lon"))
-
-    one = F.array(F.struct((x(F.get(line, 0)) * x(F.get(line, 0)) + y(F.get(line, 0)) * y(F.get(line, 0))).alias("d"), F.lit(-1).alias("k"), F.get(line, 0)["lat"].alias("lat"), F.get(line, 0)["lon"].alias("lon")))
-    best = F.array_min(F.concat(one, F.when(F.size(line) > 1, F.transform(F.sequence(F.lit(0), F.size(line) - 2), of_segment)).otherwise(F.slice(one, 1, 0))))
-    return F.when(F.size(line) > 0, F.struct(best["lat"].alias("lat"), best["lon"].alias("lon"), geo.haversine_km(lat, lon, best["lat"], best["lon"]).alias("km")))
+    # step by step, each over the fields of the one before, so that the expression stays small
+    plane = F.transform(line, lambda p: F.struct(((p["lon"] - lon) * F.cos(F.radians(lat))).alias("x"), (p["lat"] - lat).alias("y"), p["lat"].alias("lat"), p["lon"].alias("lon")))
+    ends = F.zip_with(plane, F.concat(F.slice(plane, 2, F.greatest(F.size(plane), F.lit(0))), F.slice(plane, -1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ways = F.transform(ends, lambda e: F.struct(e["a"].alias("a"), (e["b"]["x"] - e["a"]["x"]).alias("dx"), (e["b"]["y"] - e["a"]["y"]).alias("dy"), (e["b"]["lat"] - e["a"]["lat"]).alias("dlat"), (e["b"]["lon"] - e["a"]["lon"]).alias("dlon")))
+    share = lambda w: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(w["a"]["x"] * w["dx"] + w["a"]["y"] * w["dy"]), w["dx"] * w["dx"] + w["dy"] * w["dy"]))), F.lit(0.0))
+    feet = F.transform(ways, lambda w: F.struct(w.alias("w"), share(w).alias("t")))
+    spots = F.transform(feet, lambda f: F.struct((f["w"]["a"]["x"] + f["t"] * f["w"]["dx"]).alias("x"), (f["w"]["a"]["y"] + f["t"] * f["w"]["dy"]).alias("y"), (f["w"]["a"]["lat"] + f["t"] * f["w"]["dlat"]).alias("lat"), (f["w"]["a"]["lon"] + f["t"] * f["w"]["dlon"]).alias("lon")))
+    near = F.transform(spots, lambda q, k: F.struct((q["x"] * q["x"] + q["y"] * q["y"]).alias("d"), k.alias("k"), q["lat"].alias("lat"), q["lon"].alias("lon")))
+    best = F.transform(F.array(F.array_min(near)), lambda q: F.struct(q["lat"].alias("lat"), q["lon"].alias("lon"), geo.haversine_km(lat, lon, q["lat"], q["lon"]).alias("km")))
+    return F.when(F.size(line) > 0, F.get(best, 0))
 
 
 def arc_key(address: Column, node_id: Column, delay_us: Column, now_ms: Column) -> Column:
