@@ -129,21 +129,20 @@ def patch(lat: Column, lon: Column, step: float) -> Column:
     return F.struct(row.alias("row"), F.least(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360).cast("int"), n - 1).alias("col"))
 
 
-def patches(lat: Column, lon: Column, km: Column, step: float) -> Column:
-    """All patches that hold points within ``km`` of a place: an array, without repeats; poles and date line included."""
+def patch_rows(lat: Column, km: Column, step: float) -> Column:
+    """The rows of the grid that hold points within ``km`` of a place, as an array."""
     angle = F.degrees(km / RADIUS_KM)
-    rows = F.sequence(F.floor(F.greatest(lat - angle, F.lit(-90.0)) / step).cast("int"), F.floor(F.least(lat + angle, F.lit(90.0)) / step).cast("int"))
-    # the widest meridians that the cap touches; all where it holds a pole
-    polar = F.abs(lat) + angle >= 90
-    wide = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(angle)) / F.cos(F.radians(lat)))))) + 1e-9
+    return F.sequence(F.floor(F.greatest(lat - angle, F.lit(-90.0)) / step).cast("int"), F.floor(F.least(lat + angle, F.lit(90.0)) / step).cast("int"))
 
-    def of_row(row: Column) -> Column:
-        n = _columns(row, step)
-        first = F.floor((lon - wide) * n / 360).cast("int")
-        count = F.least(n, F.floor((lon + wide) * n / 360).cast("int") - first + 1)
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(row.alias("row"), F.pmod(first + k, n).cast("int").alias("col")))
 
-    return F.array_distinct(F.flatten(F.transform(rows, of_row)))
+def patch_columns(lat: Column, lon: Column, km: Column, row: Column, step: float) -> tuple[Column, Column, Column]:
+    """Of such a row: its first patch that may hold such points (not yet turned into range), how many there are from there on, and how many the row has; poles and date line included."""
+    angle = F.degrees(km / RADIUS_KM)
+    # the widest meridians that the cap touches; all where it holds a pole
+    wide = F.when(F.abs(lat) + angle >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(angle)) / F.cos(F.radians(lat)))))) + 1e-9
+    n = _columns(row, step)
+    first = F.floor((lon - wide) * n / 360).cast("int")
+    return first, F.least(n, F.floor((lon + wide) * n / 360).cast("int") - first + 1), n
 
 
 def patch_sight(lat: Column, lon: Column, cell: Column, step: float) -> tuple[Column, Column]:
