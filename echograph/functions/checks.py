@@ -41,9 +41,15 @@ def _is_number(v: Column) -> Column:
     return F.coalesce(_kind(v).rlike(_NUMBER), F.lit(False))
 
 
-def _keys(text: Column, allowed: list[str]) -> list[tuple[Column, Column]]:
+def _once(text: Column, rule) -> Column:
+    """rule(text, value, keys) with the text parsed once a row, however often the rule asks."""
+    held = F.array(F.struct(text.alias("t"), F.try_parse_json(text).alias("v"), F.json_object_keys(text).alias("k")))
+    return F.get(F.transform(held, lambda x: rule(x["t"], x["v"], x["k"])), 0)
+
+
+def _keys(text: Column, keys: Column, allowed: list[str]) -> list[tuple[Column, Column]]:
     """Not an object; the first key that isn't allowed; the first that is missing."""
-    keys, names = F.json_object_keys(text), F.array(*[F.lit(x) for x in allowed])
+    names = F.array(*[F.lit(x) for x in allowed])
     extra, missing = F.array_sort(F.array_except(keys, names)), F.array_except(names, keys)
     return [
         (text.isNull() | keys.isNull(), F.lit("config: not an object")),
@@ -58,8 +64,11 @@ def node_config_fault(text: Column) -> Column:
     Unknown fields come first, then missing ones (each in order of name), then bounds in their own order. Booleans and texts
     are no numbers; beam_width_deg and beam_azimuth_deg may be null, which means something; receiver and transmitter must not coincide.
     """
-    v = F.try_parse_json(text)
-    tests = _keys(text, SETTINGS)
+    return _once(text, _node_config_fault)
+
+
+def _node_config_fault(text: Column, v: Column, keys: Column) -> Column:
+    tests = _keys(text, keys, SETTINGS)
     for name, (low, high, equal) in BOUNDS.items():
         x = _number(v, name)
         tests.append((~_is_number(_part(v, name)), f"{name}: not a number"))
@@ -78,7 +87,10 @@ def node_config_fault(text: Column) -> Column:
 
 def wire_config_fault(text: Column) -> Column:
     """Of the settings that a node sends over its line (rx_lat or lat, rx_lon or lon, a beam's width and range if it has them), the first fault; numbers may be texts."""
-    v, keys = F.try_parse_json(text), F.json_object_keys(text)
+    return _once(text, _wire_config_fault)
+
+
+def _wire_config_fault(text: Column, v: Column, keys: Column) -> Column:
     either = lambda a, b: F.when(F.array_contains(keys, a), F.struct(_part(v, a).alias("v"))).otherwise(F.struct(_part(v, b).alias("v")))["v"]
     none = lambda c: F.coalesce(_kind(c), F.lit("VOID")) == "VOID"
     number = lambda c: F.try_variant_get(c, "$", "double")
@@ -97,8 +109,11 @@ def frame_fault(text: Column) -> Column:
     A frame has just the fields of FRAME: t and seq not negative, config_version 1 or more, the arrays of numbers of MOST_DETECTIONS at
     most and equally long, adsb_hex of addresses or nulls. Booleans and texts are no numbers; whole numbers may be written with a point.
     """
-    v = F.try_parse_json(text)
-    tests = [(t, F.lit("frame") if k == 0 else F.regexp_replace(name, ":.*$", "")) for k, (t, name) in enumerate(_keys(text, FRAME))]
+    return _once(text, _frame_fault)
+
+
+def _frame_fault(text: Column, v: Column, keys: Column) -> Column:
+    tests = [(t, F.lit("frame") if k == 0 else F.regexp_replace(name, ":.*$", "")) for k, (t, name) in enumerate(_keys(text, keys, FRAME))]
     whole = lambda name, low: ~_is_number(_part(v, name)) | (_number(v, name) < low) | (_number(v, name) != F.floor(_number(v, name)))
     tests += [(~_is_number(_part(v, "t")) | (_number(v, "t") < 0), "t"), (whole("seq", 0), "seq")]
     boot = F.when(_kind(_part(v, "boot_id")) == "STRING", F.try_variant_get(v, "$.boot_id", "string"))
