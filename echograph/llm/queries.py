@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, quality, repeats, simhash, toxicity, vectors, warc
+from . import bpe, decontaminate, html, lines, quality, repeats, simhash, toxicity, vectors, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -69,8 +69,13 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks]
+    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks, op11_line_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -108,4 +113,14 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.v
 r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, (SELECT min(b) FROM r WHERE r.a = v.vec_id) AS component_id,
   vec_id = (SELECT min(b) FROM r WHERE r.a = v.vec_id) AS kept FROM v""",
+        "op11_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS line FROM d),
+k AS (
+  SELECT r, doc_id, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
     }
