@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, lines, quality, repeats, simhash, toxicity, vectors, warc
+from . import bpe, decontaminate, html, lines, quality, repeats, simhash, toxicity, tries, vectors, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -74,8 +74,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.grafted_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks, op11_line_dedup]
+    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks, op11_line_dedup, op12_conversation_trie]
     return {f.__name__: f for f in found}
 
 
@@ -123,4 +127,25 @@ s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY
 m AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM k LEFT JOIN s ON k.key = s.key)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
+        "op12_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o FROM conversations WHERE conv_id IS NOT NULL),
+i AS (
+  SELECT DISTINCT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(c::VARCHAR, '')])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM t),
+r AS (
+  SELECT i.c, o, role, text FROM i JOIN t ON t.c = i.base AND o <= h
+  UNION ALL SELECT i.c, 8 + o, role, text FROM i JOIN t ON t.c = i.c AND o > h),
+s AS (SELECT c, list([role, text] ORDER BY o) AS l FROM r GROUP BY c),
+a AS (SELECT i.c, coalesce(l, []) AS l FROM i LEFT JOIN s ON i.c = s.c),
+p AS (SELECT c, d, l[:d] AS k, len(l) = d AS ends, CASE WHEN d > 0 THEN strlen(l[d][2]) ELSE 0 END AS b FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM a)),
+n AS (SELECT d, k, min(c) AS id, count(*) AS n_convs, max(b) AS b, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS e FROM p GROUP BY d, k),
+q AS (SELECT n.*, m.id AS parent FROM n LEFT JOIN n m ON m.d = n.d - 1 AND m.k = n.k[:n.d - 1]),
+z AS (SELECT q.*, (SELECT count(*) FROM q x WHERE x.d = q.d + 1 AND x.parent = q.id) AS kids FROM q),
+u AS (SELECT DISTINCT id, d, up, up_d, kids, n_convs, b FROM (SELECT z.id, z.d, kids, z.n_convs, z.b, unnest(range(0, z.d + 1)) AS up_d, k FROM z) y
+  JOIN (SELECT id AS up, d AS dd, k AS kk FROM n) v ON v.dd = y.up_d AND v.kk = y.k[:y.up_d])
+SELECT z.id AS conv_id, z.d AS depth, z.parent AS parent_conv_id, z.n_convs, z.kids AS n_children,
+  (SELECT count(*) FROM u WHERE u.up = z.id AND u.up_d = z.d AND u.kids = 0) AS n_leaves,
+  (SELECT sum((u.n_convs - 1) * u.b) FROM u WHERE u.up = z.id AND u.up_d = z.d)::BIGINT AS saved_tokens, sha256(coalesce(z.e, '')) AS ends_sha256 FROM z""",
     }
