@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, lines, quality, repeats, simhash, toxicity, tries, vectors, warc
+from . import bpe, decontaminate, html, lines, phrases, quality, repeats, simhash, toxicity, tries, vectors, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -78,8 +78,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.grafted_trie(spark, table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks, op11_line_dedup, op12_conversation_trie]
+    found = [op1_simhash_near_dedup, op2_warc_revisits, op3_html_main_text, op4_quality_discriminant, op5_embedding_near_dedup, op6_sparse_suffix_repeats, op7_token_counts, op8_toxicity_machine, op9_bpe_round_trip, op10_benchmark_leaks, op11_line_dedup, op12_conversation_trie, op13_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -127,6 +131,26 @@ s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY
 m AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM k LEFT JOIN s ON k.key = s.key)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
+        "op13_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda y: y <> '') AS x FROM p),
+i AS (SELECT lang, x, unnest(range(1, len(x) + 1)) AS i FROM w),
+k AS (SELECT lang, x[i:i + k - 1] AS x, k FROM i CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(x)),
+f AS (SELECT lang, x, k, array_to_string(x, ' ') AS phrase, count(*)::HUGEINT AS f FROM k GROUP BY lang, x, k),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+j AS (SELECT lang, x, k, phrase, f AS a, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT j.*, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score FROM j
+  JOIN f l ON l.lang = j.lang AND l.x = j.x[:j] JOIN f r ON r.lang = j.lang AND r.x = j.x[j + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
+h AS (SELECT lang, x[a:a + m - 1] AS x, max(f) AS f FROM c CROSS JOIN (SELECT unnest([2, 3]) AS m) CROSS JOIN (SELECT unnest([1, 2, 3]) AS a)
+  WHERE m < k AND a + m - 1 <= k GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.x = b.x WHERE h.f IS NULL OR 100 * h.f < 80 * b.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT z.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""",
         "op12_conversation_trie": r"""
 WITH t AS (
   SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
