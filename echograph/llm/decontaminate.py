@@ -65,7 +65,7 @@ def myers(item: str, text: str, most: int) -> tuple[int, int]:
 class Finder:
     """Finds items in texts; made once a task from the broadcast items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.items, index = items, {}
         for k, (_, item) in enumerate(items):
             for at, piece in pieces(item):
@@ -77,10 +77,10 @@ class Finder:
             self.machine.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int]]:
-        """(item_id, edits) of each item found within its budget, at its best place."""
+        """(item_id, edits) of each item found within its budget, at its best place; items without an id last, as one."""
         if not self.items:
             return []
-        found: dict[int, int] = {}
+        found: dict[int | None, int] = {}
         tried: set[tuple[int, int]] = set()
         for end, (size, places) in self.machine.iter(text):
             for k, at in places:
@@ -95,7 +95,7 @@ class Finder:
                 edits, _ = myers(item, text[max(0, start - most) : start + len(item) + most], most)
                 if edits <= most:
                     found[item_id] = min(edits, found.get(item_id, edits))
-        return sorted(found.items())
+        return sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -118,30 +118,37 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
     in any passage within the budget; an Aho-Corasick automaton over all pieces finds these, and
     Myers' distance on the window around a hit decides. edits is the least found. Null and empty
     texts and items give no row; repeated rows give a row each, and so do rows without an id; items that share an id are tried each and
-    the best is told; of equally good places any is meant, as no place is told; other columns are ignored; texts of any length are read whole;
+    the best is told; items without an id are looked for as others are and told with a null item_id, as if they shared one; of equally good
+    places any is meant, as no place is told; other columns are ignored; texts of any length are read whole;
     empty tables give an empty result. An item may begin and end within a word: one of a few letters is found in many texts. The benchmark is dealt in blocks of bounded size, each broadcast to a pass
     over the documents, which are never shuffled.
     """
-    out = None
+    return _found(spark, docs, benchmark, id_col, text_col, item_col, item_text).drop("_mark")
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """What ``leaks`` gives, and a hash of the text, _mark."""
+    out, schema = None, f"{id_col} long, _mark long, item_id long, edits int"
     for block in _passes(benchmark, item_col, item_text):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             finder = Finder(held.value)
             for batch in slices(batches, "text"):
-                rows = [(k, *x) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in finder.find(normal(t))]
-                a, b, c = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], [id_col, "item_id", "edits"])
+                rows = [(k, m, *x) for k, m, t in zip(*(c.to_pylist() for c in batch.columns)) if t for x in finder.find(normal(t))]
+                a, b, c, d = zip(*rows) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int32())], [id_col, "_mark", "item_id", "edits"])
 
-        found = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, item_id long, edits int")
+        found = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("text")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], f"{id_col} long, item_id long, edits int") if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns.
 
-    Rows without an id stay; of rows of one id with different texts all go if one holds an item; columns of any name may be there.
+    Rows without an id stay; of rows of one id with different texts those go that hold an item; null and empty texts stay; items without
+    an id count; columns of any name may be there; an empty table gives an empty result.
     """
-    found = leaks(spark, docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
+    found = _found(spark, docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak"), F.col("_mark").alias("_leak_mark")).distinct()
+    return docs.join(found, (F.col(id_col) == F.col("_leak")) & (F.xxhash64(text_col) == F.col("_leak_mark")), "left_anti")

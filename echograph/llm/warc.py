@@ -104,7 +104,7 @@ def to_captures(records: DataFrame) -> DataFrame:
 def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
     """What ``resolve`` gave with each record's payload: its own, or, where a revisit is resolved, that of its base.
 
-    ``records`` are those that were resolved, with record_id and payload; ids that repeat there must mean one payload.
+    ``records`` are those that were resolved, with record_id and payload; ids that repeat there must mean one payload, and a base without an id gives none.
     A payload column is added; it is null for a revisit that isn't resolved.
     """
     held = records.groupBy(F.col("record_id").alias("_payload_of")).agg(F.first("payload", ignorenulls=True).alias("payload"))
@@ -159,7 +159,8 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     one, both have a Last-Modified and they differ), 'unproven' (no validator that both have) or
     'other'. merged is a full record's headers, or, where resolved, the base's headers renewed by the revisit's permitted ones; else null.
     Null URLs and times match nothing. Repeated rows give a row each; of full responses that share id, URL and time one is
-    taken as base (the largest by its validators). An empty table gives an empty result.
+    taken as base (the largest by its validators and headers). A full response without a record_id is a base as any other, at equal times
+    after those that have one; base_id is null then, and the outcome tells that there is one. An empty table gives an empty result.
 
     The as-of join deals the captures of a URL into slices by time, whose borders are quantiles of all times: the latest full
     response before a row is the latest in its own slice, or else of the latest earlier slice that has one, and a
@@ -174,10 +175,12 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     })
     borders = sorted(set(records.select(F.col("at").cast("long").alias("at")).approxQuantile("at", [k / SLICES for k in range(1, SLICES)], 0.005)))
     inside = F.array(*[F.lit(int(b)) for b in borders]) if borders else F.array().cast("array<bigint>")
-    rows = tables.cut(rows.withColumn("slice", F.size(F.filter(inside, lambda b: b < F.col("at")))))
+    rows = tables.cut(rows.withColumn("_key", F.monotonically_increasing_id()).withColumn("slice", F.size(F.filter(inside, lambda b: b < F.col("at")))))
     timed = rows.where("canonical is not null and at is not null")
     # a row for each time of a URL: its full response, and whether a revisit asks
-    times = timed.where("full or revisit").groupBy("canonical", "slice", "at").agg(F.max(F.when(F.col("full"), F.struct("at", "record_id"))).alias("best"), F.max("revisit").alias("asks"))
+    place = F.struct("record_id", "etag", "last_modified", F.array_sort(F.map_entries("headers")).alias("headers"), "_key")
+    times = timed.where("full or revisit").groupBy("canonical", "slice", "at").agg(F.max(F.when(F.col("full"), place))["_key"].alias("_key"), F.max("revisit").alias("asks"))
+    times = times.withColumn("best", F.when(F.col("_key").isNotNull(), F.struct("at", "_key"))).drop("_key")
     times = tables.cut(times)
     # the latest full response of each slice, and for each slice of a URL that of the slices before it
     by_slice = times.groupBy("canonical", "slice").agg(F.max("best").alias("best"), F.max("asks").alias("asks"))
@@ -186,16 +189,15 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     # within the slice: the latest at an earlier time
     near = Window.partitionBy("canonical", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     own = times.withColumn("own", F.last("best", ignorenulls=True).over(near)).where("asks")
-    answer = tables.cut(own.join(carried, ["canonical", "slice"], "left").select("canonical", "at", F.coalesce("own", "carried").alias("found")))
+    answer = tables.cut(own.join(carried, ["canonical", "slice"], "left").select("canonical", "at", F.coalesce("own", "carried")["_key"].alias("found")))
     asked = timed.where("revisit").join(answer, ["canonical", "at"])
-    base = F.max(F.struct("etag", "last_modified", F.map_entries("headers").alias("headers")))
-    bases = timed.where("full").groupBy(F.col("record_id").alias("base_id"), F.col("at").alias("base_at"), F.col("canonical").alias("base_canonical")).agg(base.alias("b")).select("base_id", "base_at", "base_canonical", F.col("b.etag").alias("base_etag"), F.col("b.last_modified").alias("base_modified"), F.map_from_entries("b.headers").alias("base_headers"))
-    joined = asked.join(bases, (F.col("found.record_id") == F.col("base_id")) & (F.col("found.at") == F.col("base_at")) & (F.col("canonical") == F.col("base_canonical")), "left")
+    bases = timed.where("full").select(F.col("_key").alias("found"), F.lit(True).alias("based"), F.col("record_id").alias("base_id"), F.col("etag").alias("base_etag"), F.col("last_modified").alias("base_modified"), F.col("headers").alias("base_headers"))
+    joined = asked.join(bases, "found", "left")
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     tags = F.col("etag").isNotNull() & F.col("base_etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("base_modified").isNotNull()
     outcome = (
-        F.when(F.col("base_id").isNull(), "no base")
+        F.when(F.col("based").isNull(), "no base")
         .when(tags, F.when(strong(F.col("etag")) == strong(F.col("base_etag")), "resolved").otherwise("validator mismatch"))
         .when(dates, F.when(F.col("last_modified") == F.col("base_modified"), "resolved").otherwise("validator mismatch"))
         .otherwise("unproven")
