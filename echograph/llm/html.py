@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Labelled pages made for training, and the seed they are made from.
-TRAINING_PAGES, SEED = 600, 11
+TRAINING_PAGES, SEED = 900, 11
+#: By how much a block's features must speak against main text for it to go from a page whose only text is its article.
+MARGIN = 4.0
 # Element kinds of the HTML standard. What stands in SILENT ones is code, settings or form controls, never text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template iframe select textarea title button".split())
@@ -95,7 +97,9 @@ class _Open:
         self.page, self.stack, self.places, self.seen = page, [(0, "", (), "", True)], {}, {}
 
     def push(self, name: str, words: list[str]) -> None:
-        own = dict.fromkeys([*([] if name in ("html", "body") else ["a:" + name]), *("c:" + w for w in words)])
+        # an article's own header and footer aren't the page's
+        inner = name in ("header", "footer") and (self.last("article") or self.last("main"))
+        own = dict.fromkeys([*([] if name in ("html", "body") else ["a:" + name + "-in" * bool(inner)]), *("c:" + w for w in words)])
         new = tuple(f for f in own if not self.seen.get(f))
         for f in own:
             self.seen[f] = self.seen.get(f, 0) + 1
@@ -228,7 +232,7 @@ def _own_features(page: Page) -> list[list[str]]:
             f.append("copyright")
         if b.bare:
             f.append("bare")
-        f.append("first" if k == 0 else "last" if k == last else "mid")
+        f.append("only" if not last else "first" if k == 0 else "last" if k == last else "mid")
         out.append(f)
     return out
 
@@ -248,6 +252,10 @@ class Chain:
     def __post_init__(self) -> None:
         self._plain = {w: (float(v[0]), float(v[1])) for w, v in self.weights.items()}
 
+    def odds(self, features: list[str]) -> float:
+        """By how much a block's features speak for main text, its neighbours aside."""
+        return sum(b - a for a, b in (self._plain.get(f, (0.0, 0.0)) for f in features))
+
     def viterbi(self, page: Page) -> list[bool]:
         """The likeliest labels of a page's blocks together; of equal ones those that leave a block out."""
         if not page.blocks:
@@ -363,9 +371,41 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
         inner = rng.choice([line(2, 25), f"<p>{line(3, 25)}</p>", f"<h3>{line(1, 4)}</h3><p>{line(3, 25)}</p>"]) if tag != "p" else line(2, 25)
         return f"<{tag}{'' if tag == 'aside' and rng.random() < 0.5 else mark}>{inner}</{tag}>"
 
+    def plain(main: list[str]) -> str:
+        """The body of a page that is little but its article."""
+
+        def text(a: int, b: int) -> str:
+            main.append(line(a, b))
+            return main[-1]
+
+        paragraphs = lambda: "".join(f"<p>{text(*rng.choice([(1, 4), (3, 30), (20, 90)]))}</p>" for _ in range(rng.choice([1, 1, 2, 3, 6])))
+        shape = rng.randrange(8)
+        if shape == 0:
+            return paragraphs()
+        if shape == 1:
+            return f"<div>{paragraphs()}</div>"
+        if shape == 2:
+            return f"<main>{paragraphs()}</main>"
+        if shape == 3:  # a headline in the article's own header, and what stands below the article
+            head = f"<header><h1>{text(1, 10)}</h1></header>" if rng.random() < 0.7 else f"<header><h1>{text(1, 10)}</h1><p>{text(3, 20)}</p></header>"
+            foot = rng.choice(["", f"<footer>{line(2, 9)}</footer>", f"<footer><p>{line(2, 9)}</p></footer>"])
+            return f"<article>{head}{paragraphs()}{foot}</article>"
+        if shape == 4:  # a layout table: the menu in one cell, the article in another
+            menu = rng.choice(["<br>", " | ", " "]).join(f'<a href="/{k}">{line(1, 2)}</a>' for k in range(rng.randint(2, 7)))
+            menu = rng.choice([menu, "".join(f'<p><a href="/{k}">{line(1, 2)}</a></p>' for k in range(3))])
+            return f"<table><tr><td>{menu}</td>{rng.choice(['', '</tr><tr>'])}<td>{paragraphs()}</td></tr></table>"
+        if shape == 5:
+            return f"<article>{text(1, 60)}</article>"
+        if shape == 6:
+            return f"<article>{paragraphs()}</article>" + rng.choice(["", part("footer"), part("nav"), part("comments")])
+        return rng.choice(["", part("nav"), part("header")]) + f"<article>{paragraphs()}</article>"
+
     out = []
-    for _ in range(count):
+    for n in range(count):
         main: list[str] = []
+        if n % 3 == 2:
+            out.append((f"<html><body>{plain(main)}</body></html>", main))
+            continue
 
         def text(a: int, b: int, main=main) -> str:
             main.append(line(a, b))
@@ -418,16 +458,22 @@ def train(count: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    """The blocks labelled main, in page order, joined by an empty line."""
+    """The blocks labelled main, in page order, joined by an empty line.
+
+    Of a page with no such block those in an article or main element stand, unless a block's own features speak against it by MARGIN or more.
+    """
     found = blocks(page)
-    return "\n\n".join(b.text for b, keep in zip(found.blocks, chain.viterbi(found)) if keep)
+    labels = chain.viterbi(found)
+    if not any(labels):
+        labels = [not {"a:article", "a:main"}.isdisjoint(f) and chain.odds(f) > -MARGIN for f in _features(found)]
+    return "\n\n".join(b.text for b, keep in zip(found.blocks, labels) if keep)
 
 
 def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """One row per page: id_col, url, text (main text, empty if none), n_chars (its code points).
 
     A null or empty page gives an empty text; pages of any length are read whole, in time that follows their length; of equally
-    likely labellings that with less text is taken; repeated rows give a row each; other columns are ignored; an empty table gives an empty result. The model is
+    likely labellings that with less text is taken; repeated rows give a row each and repeated blocks stay; other columns are ignored; an empty table gives an empty result. The model is
     trained on the driver on ``training_pages`` made pages and goes to the tasks with the function.
     """
     chain = train(training_pages)
