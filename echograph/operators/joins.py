@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echograph.functions import geo
 
-from .links import Tables
+from .links import Tables, components
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, at: str, to: str, within: float, carry: list[str], left_id: str) -> DataFrame:
@@ -77,28 +80,77 @@ def by_precedence(frames: list[DataFrame], key: str) -> DataFrame:
     return whole.groupBy(key).agg(F.min(F.struct("source_rank", *others)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in ("source_rank", *others)])
 
 
+#: Rounds of ``greedy_match`` after which linked pairs are finished in one task each, and how many of them a task may finish.
+ROUNDS, MOST_LINKED = 8, 1 << 20
+
+
 def greedy_match(pairs: DataFrame, group: list[str], left: str, right: str, cost: str) -> DataFrame:
     """One-to-one: pairs of a group in order of (cost, left, right), each side used once.
 
     A pair that comes first among all that are left of its left and of its right side is taken whatever else is, as
     nothing before it can use either: each round takes all such pairs and drops those of the sides used. So the
-    rounds give what claiming one by one does, by partial aggregations and joins; no group meets in one task. A round takes the first
-    pair of each group at least, in practice most; pairs whose costs fall along a chain take as many rounds as the chain has pairs. Repeated pairs count once.
+    rounds give what claiming one by one does, by partial aggregations and joins. Most pairs go in a few rounds; after ROUNDS of them what is left is
+    mostly chains, of which a round takes one pair each: pairs that are linked by shared sides, MOST_LINKED at most, are then finished in order by one task, and only
+    larger sets go on in rounds. ``cost`` may be a struct, compared field by field. Repeated pairs count once.
     Pairs without a cost or a side go. An empty table gives an empty result.
     """
     tables, columns = Tables(pairs.sparkSession), [*group, left, right, cost]
     rest = pairs.select(*columns).where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(cost).isNotNull())
-    rest, taken = tables.cut(rest.distinct()), None
+    rest, taken, step = tables.cut(rest.distinct()), [], 0
     place = F.struct(cost, left, right)
     while not rest.isEmpty():
+        step += 1
+        if step % (ROUNDS + 1) == 0:
+            done, after = _finish(rest, group, left, right, cost, tables)
+            taken.append(done)
+            tables.drop(rest)
+            rest = after
+            continue
         first = lambda side: rest.groupBy(*group, side).agg(F.min(place).alias("_m"))  # noqa: B023, E731
         a, b = (first(side).select(*group, F.col("_m").alias("_p")) for side in (left, right))
         won = tables.cut(a.join(b, [*group, "_p"], "left_semi").select(*group, F.col(f"_p.{left}").alias(left), F.col(f"_p.{right}").alias(right), F.col(f"_p.{cost}").alias(cost)))
         left_over = rest.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti").select(*columns)
         after = tables.cut(left_over)
         tables.drop(rest)
-        taken, rest = won if taken is None else taken.unionByName(won), after
-    return (rest if taken is None else taken).select(*columns)
+        taken.append(won)
+        rest = after
+    whole = taken[0] if taken else rest
+    for df in taken[1:]:
+        whole = whole.unionByName(df)
+    return whole.select(*columns)
+
+
+def _finish(rest: DataFrame, group: list[str], left: str, right: str, cost: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The pairs taken of linked sets of MOST_LINKED pairs or fewer, and the pairs of larger sets, untouched."""
+    # sides are linked by a hash: were two to collide, two sets would be finished by the same task, each in its own right
+    side = lambda name, c: F.xxhash64(F.lit(name), *group, c)
+    known = tables.cut(rest.withColumns({"_a": side("left", left), "_b": side("right", right)}))
+    linked = components(rest.sparkSession, known.select(F.col("_a").alias("a"), F.col("_b").alias("b")), tables).withColumnRenamed("id", "_a")
+    dealt = tables.cut(known.join(linked, "_a").drop("_a", "_b"))
+    marked = tables.cut(dealt.join(dealt.groupBy("component").agg((F.count("*") > MOST_LINKED).alias("large")), "component"))
+    small = marked.where("not large").repartition("component").sortWithinPartitions("component", cost, left, right).select("component", *group, left, right, cost)
+    done = tables.cut(small.mapInArrow(_in_order(len(group)), small.schema).select(*rest.columns))
+    return done, tables.cut(marked.where("large").select(*rest.columns))
+
+
+def _in_order(groups: int):
+    """Of rows (component, the group's columns, left, right, cost) sorted as they are to be claimed, those whose sides are both free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, set()
+        for batch in batches:
+            keep = []
+            for component, *of, a, b in zip(*(batch.column(k).to_pylist() for k in range(groups + 3))):
+                if component != at:
+                    at, used = component, set()
+                one, two = ("left", *of, a), ("right", *of, b)
+                free = one not in used and two not in used
+                if free:
+                    used.update((one, two))
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def latest(df: DataFrame, key: str, at: str, carry: list[str]) -> DataFrame:

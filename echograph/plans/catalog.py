@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, checks, coverage, fleet, reports
+from . import accuracy, checks, coverage, fleet, reports, verification
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return accuracy.QUERIES | checks.QUERIES | coverage.QUERIES | fleet.QUERIES | reports.QUERIES
+    return accuracy.QUERIES | checks.QUERIES | coverage.QUERIES | fleet.QUERIES | reports.QUERIES | verification.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return accuracy.SQL | checks.SQL | coverage.SQL | fleet.SQL | reports.SQL
+    return accuracy.SQL | checks.SQL | coverage.SQL | fleet.SQL | reports.SQL | verification.SQL

@@ -42,8 +42,17 @@ def detections(frames: DataFrame, nodes: DataFrame | None = None, ingest_ms: Col
 
 
 def _dated(df: DataFrame, at_ms: str) -> DataFrame:
-    day = F.timestamp_millis(F.col(at_ms))
-    return df.withColumns({"year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM"), "day": F.date_format(day, "dd")})
+    """Adds year, month and day as text: those of UTC, whatever the session's time zone."""
+    day = F.date_from_unix_date(F.floor(F.col(at_ms) / 86_400_000).cast("int"))
+    part = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return df.withColumns({"year": part(F.year(day), 4), "month": part(F.month(day), 2), "day": part(F.day(day), 2)})
+
+
+def utc_millis(text: Column) -> Column:
+    """Milliseconds of ISO text; text without a zone is UTC, whatever the session's; null for other text."""
+    whole = F.when(text.rlike(r"^\s*\d{4}-\d\d-\d\d\s*$"), F.concat(F.trim(text), F.lit("T00:00:00"))).otherwise(F.trim(text))
+    zoned = whole.rlike(r"(?i)(z|utc|gmt|[+-]\d\d(:?\d\d)?)$") & whole.rlike(r"\d\d:\d\d")
+    return F.unix_millis(F.when(zoned, whole).otherwise(F.concat(whole, F.lit("Z"))).try_cast("timestamp"))
 
 
 def write_detections(df: DataFrame, path: str) -> None:
@@ -116,7 +125,7 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     named = F.get(F.array_compact(F.transform("detections", lambda d: F.coalesce(filled(d["_node_id"]), filled(d["node_id"])))), 0)
     first = F.get(F.filter(F.transform("detections", lambda d: d["timestamp"]), lambda t: t > 0), 0)
-    at = F.coalesce(F.unix_millis(F.col("timestamp").try_cast("timestamp")), first, F.lit(0))
+    at = F.coalesce(utc_millis(F.col("timestamp")), first, F.lit(0))
     rows = v.select("file", F.coalesce(filled(F.col("node_id")), named, F.lit("unknown")).alias("_n"), at.alias("ingest_ms"), F.posexplode_outer("detections").alias("position", "f"))
     return rows.where("f is not null").select("file", F.col("_n").alias("node_id"), "ingest_ms", "position", *[F.col("f." + x.split(" ")[0]) for x in _split(FRAME)])
 
@@ -134,9 +143,44 @@ def _split(schema: str) -> list[str]:
 
 
 def backfill(spark: SparkSession, source: str, target: str, nodes: DataFrame | None = None) -> None:
-    """Writes the detections of legacy files into the archive, by the day of their own frames; a rerun adds them again."""
+    """Writes the detections of legacy files into the archive, by the day of their own frames.
+
+    Days and nodes that the archive has already are passed over, so a rerun adds nothing and goes on with those that are missing; a day and node is written whole
+    or, if the job fails, not at all, as Spark's commit makes its files seen together.
+    """
     frames = read_legacy(spark, source)
-    write_detections(detections(frames.drop("file", "position"), nodes, F.col("ingest_ms")), target)
+    rows = _dated(detections(frames.drop("file", "position"), nodes, F.col("ingest_ms")), "frame_ts_ms")
+    there = partitions(spark, target)
+    if there is not None:
+        rows = rows.join(there, ["year", "month", "day", "node_id"], "left_anti")
+    write_detections(rows.drop("year", "month", "day"), target)
+
+
+def partitions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The days and nodes that an archive has rows of; None where there is no archive yet. Files' footers are read, no rows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return read_detections(spark, path).select("year", "month", "day", "node_id").distinct()
+
+
+def write_batches(frames: DataFrame, path: str, checkpoint: str, nodes: DataFrame | None = None):
+    """Starts a stream's archive (a DataStreamWriter, to be started): each batch is written once, however often it is tried again.
+
+    A batch goes to the folder batch=<its number> as a whole, in place of what an earlier try left there; the number comes from the checkpoint, so a retry after
+    a failure has the same rows under the same number. ``read_batches`` reads all of them.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        dated = _dated(detections(rows, nodes), "frame_ts_ms").hint("rebalance", "year", "month", "day", "node_id")
+        dated.write.mode("overwrite").partitionBy("year", "month", "day", "node_id").option("compression", "zstd").parquet(f"{path}/batch={batch}")
+
+    return frames.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_batches`` wrote, with the number of each row's batch."""
+    return spark.read.schema(DETECTIONS + ", batch long, year string, month string, day string").parquet(path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
