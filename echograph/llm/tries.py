@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,35 +83,47 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _subtree(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nodes below one node, from the turns below it: levels downwards, then their sums upwards."""
-    rows = rows.sort_values(["at", "rep"])
-    top = int(rows["top"].iloc[0])
+_SETTLED = pa.schema([(x, pa.int64()) for x in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "end")] + [("first", pa.bool_())])
+
+
+def _subtree(top: int, start: int, rows: list[tuple]) -> list[tuple]:
+    """The nodes below one node, from the turns (at, rep, w, n, key, bytes) below it, sorted: levels downwards, then their sums upwards."""
     node: dict[int, int] = {}
-    levels: list[tuple[int, dict]] = []
-    for at, part in rows.groupby("at", sort=True):
-        found: dict[tuple, list] = {}
-        for rep, w, n, key, size in zip(part["rep"].tolist(), part["w"].tolist(), part["n"].tolist(), part["key"].tolist(), part["bytes"].tolist()):
-            place = found.setdefault((node.get(rep, top), bytes(key)), [rep, 0, size, None])  # reps come in order: the first is the least
-            place[1] += w
-            if n == at:
-                place[3] = rep
-            node[rep] = place[0]
-        levels.append((int(at), found))
+    levels: dict[int, dict] = {}
+    for at, rep, w, n, key, size in rows:
+        place = levels.setdefault(at, {}).setdefault((node.get(rep, top), key), [rep, 0, size, None])  # reps come in order: the first is the least
+        place[1] += w
+        if n == at:
+            place[3] = rep
+        node[rep] = place[0]
     out, below = [], {}
-    for at, found in reversed(levels):
+    for at, found in reversed(levels.items()):
         sums: dict[int, list[int]] = {}
         for (parent, _), (conv, n_convs, size, end) in found.items():
             children, leaves, saved = below.get(conv, (0, 1, 0))
             saved += (n_convs - 1) * size
-            out.append((conv, at, parent, n_convs, children, leaves, saved, end))
+            out.append((conv, at, parent, n_convs, children, leaves, saved, end, at == start + 1))
             total = sums.setdefault(parent, [0, 0, 0])
             total[0] += 1
             total[1] += leaves
             total[2] += saved
         below = sums
-    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "end"]
-    return pd.DataFrame(out, columns=names).astype({"end": "Int64"}).assign(first=lambda x: x["depth"] == x["depth"].min())
+    return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_subtree`` of each node (top, start) in rows sorted by it; no more than one node's rows are held, MOST or fewer."""
+    of, held = None, []
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*_subtree(*of, held)), _SETTLED.types)], schema=_SETTLED)
+    for batch in batches:
+        for top, start, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if of != (top, start):
+                if held:
+                    yield out()
+                of, held = (top, start), []
+            held.append(tuple(row))
+    if held:
+        yield out()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -184,7 +195,8 @@ def trie(spark: SparkSession, convs: DataFrame, turns: DataFrame) -> DataFrame:
         F.when(F.col("at") < F.col("n"), 1).otherwise(0).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), ((F.col("w") - 1) * F.col("tail")).alias("saved_tokens"), F.when(F.col("at") == F.col("n"), F.col("rep")).alias("end"),
     )
     under = _union(small).join(steps.drop("tail"), "rep").where("at > start")
-    settled = tables.cut(under.groupBy("top", "start").applyInPandas(_subtree, NODE + ", first boolean"))
+    dealt = under.repartition("top", "start").sortWithinPartitions("top", "start", "at", "rep")
+    settled = tables.cut(dealt.select("top", "start", "at", "rep", "w", "n", "key", "bytes").mapInArrow(_subtrees, NODE + ", first boolean"))
 
     done: list[DataFrame] = []
     for d in range(len(joined) - 1, -1, -1):
