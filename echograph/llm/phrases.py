@@ -21,7 +21,9 @@ BUCKETS = 1 << 26
 #: Slots of one piece of a count array; task arrays that the first step of the tree adds.
 PIECE, BRANCH = 1 << 16, 16
 #: Words whose phrases are formed, and bytes of text whose words are hashed, at once.
-HELD, WINDOW = 1 << 20, 4 << 20
+HELD, WINDOW = 1 << 18, 1 << 19
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 
 _SPACE, _BREAK = 1, 2
 # What ends a piece, and what ends a word besides.
@@ -126,7 +128,7 @@ def _bounds(k: int, bitmap):
     least checksum of a text that does. Keys whose first halves collide may take several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words, _ = _read(batch)
             for a, b in words.blocks():
                 found = words.keys(a, b, k)
@@ -225,7 +227,7 @@ def _count(table, whole: bool):
         rows = lambda x: pa.RecordBatch.from_pylist(x, _SCHEMA)
         mph = table.value
         total, named = np.zeros(len(mph.one), np.int64), np.zeros(len(mph.one), bool)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words, langs = _read(batch)
             if whole:
                 per = np.bincount(words.text, minlength=len(langs)).tolist()
