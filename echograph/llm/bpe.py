@@ -340,7 +340,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = 2
 
     Tokens are counted as the library does without begin, end or added special tokens; the strings of
     special tokens inside a text count as those tokens. A null text counts as empty; repeated
-    rows give a row each; an empty table gives an empty result.
+    rows give a row each; other columns of any name are ignored; an empty table gives an empty result. A text of any length is
+    counted whole, in one task, which holds that text and its distinct words at once.
     """
     get = _model(spark, path)
 
@@ -392,7 +393,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "d
     Both in one step: ids and decoded texts stay in the task, about HELD bytes of text at a time (a longer
     text by itself), and only their digests (hex SHA-256 of the decimal ids joined by a space, and of the decoded
     text) leave it. A null text counts as empty; repeated rows give a row each; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. A text of any length is coded whole, in one task, which holds the text, its ids and
+    what they decode to.
     """
     get = _model(spark, path)
 
