@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that the driver and all executors share")
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that the driver and all executors share, and be given when the session is built")
         global _own
         _own = _own or tempfile.mkdtemp(prefix="echograph-")
         found = _own
@@ -24,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own = ""
-#: The scopes that are open, innermost last; each has the tables made in it.
-_scopes: list[list[Tables]] = []
+#: The scopes that are open here, innermost last; each has the tables made in it. Another thread has its own.
+_scopes: ContextVar[tuple[list[Tables], ...]] = ContextVar("scopes", default=())
 
 
 class Tables:
@@ -38,8 +39,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.count, self.paths = spark, f"{shared_dir(spark)}/echograph-{uuid.uuid4().hex}", 0, {}
-        if _scopes:
-            _scopes[-1].append(self)
+        if _scopes.get():
+            _scopes.get()[-1].append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{self.count}"
@@ -67,11 +68,13 @@ class Tables:
 @contextmanager
 def scope() -> Iterator[None]:
     """Removes, at its end, all tables that were made within, but for those of scopes that hold it."""
-    _scopes.append([])
+    made: list[Tables] = []
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        for tables in _scopes.pop():
+        _scopes.reset(before)
+        for tables in made:
             tables.clear()
 
 
