@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, checks, coverage, fleet, identity, reports, verification
+from . import accuracy, checks, coverage, fleet, identity, reports, solving, verification
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return accuracy.QUERIES | checks.QUERIES | coverage.QUERIES | fleet.QUERIES | identity.QUERIES | reports.QUERIES | verification.QUERIES
+    return accuracy.QUERIES | checks.QUERIES | coverage.QUERIES | fleet.QUERIES | identity.QUERIES | reports.QUERIES | solving.QUERIES | verification.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return accuracy.SQL | checks.SQL | coverage.SQL | fleet.SQL | identity.SQL | reports.SQL | verification.SQL
+    return accuracy.SQL | checks.SQL | coverage.SQL | fleet.SQL | identity.SQL | reports.SQL | solving.SQL | verification.SQL
