@@ -187,3 +187,20 @@ def greedy_solve_matching(spark: SparkSession, sf: str) -> DataFrame:
     t = su.table(spark, sf, "supplier").select(k.alias("track"), F.col("s_nationkey").alias("region"), su.lat(k * 11).alias("lat"), su.lon(k * 13).alias("lon"))
     pairs = joins.within(t, su.targets(spark, sf).select("hex", "lat", "lon"), 12.0)
     return joins.greedy_match(pairs, ["region"], "track", "hex", "distance_km").withColumn("distance_km", F.bround("distance_km", 6))
+
+
+CANDIDATE = f"k AS (SELECT s_suppkey AS candidate, {su.lat_sql('s_suppkey * 3')} + 0.55::DOUBLE AS la, {su.lon_sql('s_suppkey * 7')} - 0.35::DOUBLE AS lo FROM supplier)"
+
+
+@query(f"""WITH {su.SITES}, {CANDIDATE},
+g AS (SELECT candidate, la, lo, i, j, la + i * (3.0::DOUBLE / 111.2::DOUBLE) AS lat, lo + j * (3.0::DOUBLE / 111.2::DOUBLE) / greatest(cos(radians(la)), 0.01) AS lon FROM k, range(-17, 18) x(i), range(-17, 18) y(j)),
+f AS (SELECT *, {su.bearing_sql("la", "lo", "lat", "lon")} AS b FROM g WHERE {su.km_sql("la", "lo", "lat", "lon")} <= 50),
+h AS (SELECT candidate, i, j, any_value(b) AS b, count(*) AS c FROM f, n WHERE {IN_BEAM} GROUP BY candidate, i, j),
+z AS (SELECT candidate, a * 30 AS aim, count(*) FILTER (c = 1) * 9.0::DOUBLE AS n2, count(*) FILTER (c = 2) * 9.0::DOUBLE AS n3 FROM h, range(12) t(a) WHERE c <= 2 AND {FOLD("b - a * 30")} <= 21 GROUP BY candidate, a),
+m AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY n2 DESC, n3 DESC, aim) = 1)
+SELECT k.candidate, coalesce(n2, 0)::DOUBLE AS area_added_km2, coalesce(n3, 0)::DOUBLE AS area_n3_km2, coalesce(aim, 0)::DOUBLE AS best_azimuth_deg FROM k LEFT JOIN m ON m.candidate = k.candidate""")
+def tower_coverage_added(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers again, as places for receivers at the edge of the fleet."""
+    k = F.col("s_suppkey")
+    asked = su.table(spark, sf, "supplier").select(k.alias("candidate"), (su.lat(k * 3) + 0.55).alias("rx_lat"), (su.lon(k * 7) - 0.35).alias("rx_lon"))
+    return towers.coverage_added(asked, su.sites(spark, sf))
