@@ -80,6 +80,11 @@ def in_order(rows: DataFrame, edges: list[DataFrame], rule: Callable, names: lis
         links = links.unionByName(more)
     piece = components(rows.sparkSession, links, tables).withColumnsRenamed({"id": "_row", "component": "_piece"})
     dealt = rows.join(piece, "_row", "left").withColumn("_piece", F.coalesce("_piece", "_row")).drop("_row")
+    return through(dealt, ["at_s", "seq"], rule, names, out)
+
+
+def through(dealt: DataFrame, order: list[str], rule: Callable, names: list[str], out: str) -> DataFrame:
+    """Rows dealt to pieces (_piece) through a rule, in order within their piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, {}
@@ -91,7 +96,7 @@ def in_order(rows: DataFrame, edges: list[DataFrame], rule: Callable, names: lis
                 found.append(rule(held, row))
             yield batch.assign(**{n: pd.Series([f[i] for f in found], index=batch.index, dtype=object) for i, n in enumerate(names)}).drop(columns="_piece")
 
-    return dealt.repartition("_piece").sortWithinPartitions("_piece", "at_s", "seq").mapInPandas(run, out)
+    return dealt.repartition("_piece").sortWithinPartitions("_piece", *order).mapInPandas(run, out)
 
 
 def track_claims(requests: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograph.functions import geo, radio
-from echograph.operators import joins, stats, towers
+from echograph.operators import disappearance, joins, stats, towers
 
 from . import surrogates as su
 
@@ -204,3 +204,28 @@ def tower_coverage_added(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     asked = su.table(spark, sf, "supplier").select(k.alias("candidate"), (su.lat(k * 3) + 0.55).alias("rx_lat"), (su.lon(k * 7) - 0.35).alias("rx_lon"))
     return towers.coverage_added(asked, su.sites(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {su.SITES},
+d AS (SELECT user_id % 20 AS node_id, event_id % 300 AS hex, event_id * 7 % 1200 AS at_s FROM events),
+s AS (SELECT DISTINCT node_id, hex, (at_s + 29) // 30 * 30 AS last_s FROM d),
+w AS (SELECT *, lead(last_s) OVER (PARTITION BY node_id, hex ORDER BY last_s) AS again FROM s),
+g AS (SELECT node_id, hex, last_s, last_s + 30 * i AS cycle FROM w, range(1, 4) x(i) WHERE again IS NULL OR last_s + 30 * i < again),
+v AS (SELECT DISTINCT g.node_id, g.cycle FROM g JOIN d ON d.node_id = g.node_id AND d.at_s // 150 % 2 = 0 AND g.cycle - d.at_s BETWEEN 0 AND 60),
+x AS (SELECT o_orderkey % 300 AS hex, o_orderkey * 11 % 1200 AS at_s, {su.lat_sql("o_orderkey")} AS lat, {su.lon_sql("o_orderkey")} AS lon FROM orders),
+y AS (SELECT q.hex, q.cycle, arg_min(struct_pack(lat := lat, lon := lon), [-at_s, lat, lon]) AS p FROM (SELECT DISTINCT hex, cycle FROM g) q JOIN x ON x.hex = q.hex AND q.cycle - at_s BETWEEN 0 AND 30 GROUP BY q.hex, q.cycle),
+u AS (SELECT g.*, p.lat AS lat, p.lon AS lon, floor({su.bearing_sql("rx_lat", "rx_lon", "p.lat", "p.lon")} / 5)::BIGINT AS bin, {su.km_sql("rx_lat", "rx_lon", "p.lat", "p.lon")} AS km FROM g JOIN v USING (node_id, cycle) JOIN y USING (hex, cycle) JOIN n USING (node_id)),
+q AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY cycle, last_s, hex) AS k FROM u WHERE (node_id * 7 + bin) % 3 <> 0 AND km <= 40 + bin),
+r AS (SELECT DISTINCT node_id, 0::BIGINT AS k, 0::BIGINT AS hex, 0::BIGINT AS cycle, 0::BIGINT AS last_s, 0::DOUBLE AS lat, 0::DOUBLE AS lon, 0::BIGINT AS c, false AS told, []::STRUCT(h BIGINT, l BIGINT)[] AS held FROM q
+  UNION ALL SELECT node_id, k, hex, cycle, last_s, lat, lon, c + ok::INT, ok, CASE WHEN ok THEN list_append(list_filter(held, lambda z: cycle - z.l <= 90), {{'h': hex, 'l': last_s}}) ELSE held END
+  FROM (SELECT *, c < 5 AND len(list_filter(held, lambda z: z.h = hex AND z.l = last_s)) = 0 AS ok FROM (SELECT q.node_id, q.k, q.hex, q.cycle, q.last_s, q.lat, q.lon, CASE WHEN r.cycle = q.cycle THEN r.c ELSE 0 END AS c, r.held FROM r JOIN q ON q.node_id = r.node_id AND q.k = r.k + 1)))
+SELECT node_id, hex, cycle, last_s, lat, lon FROM r WHERE told""")
+def disappeared_aircraft(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as detections, and as signs of life in every other 150 s; orders as fixes; bins that the ids leave open."""
+    k, o = F.col("event_id"), F.col("o_orderkey")
+    seen = su.table(spark, sf, "events").select((F.col("user_id") % 20).alias("node_id"), (k % 300).alias("hex"), (k * 7 % 1200).alias("at_s"))
+    signs = seen.select("node_id", F.when(F.floor(F.col("at_s") / 150) % 2 == 0, F.col("at_s")).alias("at_s"))
+    fixes = su.table(spark, sf, "orders").select((o % 300).alias("hex"), (o * 11 % 1200).alias("at_s"), su.lat(o).alias("lat"), su.lon(o).alias("lon"))
+    sites = su.sites(spark, sf)
+    fov = sites.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(71))).alias("bin")).where("(node_id * 7 + bin) % 3 <> 0").withColumn("reach_km", (40 + F.col("bin")).cast("double"))
+    return disappearance.disappearances(seen, signs, fixes, sites, fov)
