@@ -145,6 +145,12 @@ def patch_columns(lat: Column, lon: Column, km: Column, row: Column, step: float
     return first, F.least(n, F.floor((lon + wide) * n / 360).cast("int") - first + 1), n
 
 
+def patch_middle(cell: Column, step: float) -> tuple[Column, Column]:
+    """The place in the middle of a patch; longitudes from -180."""
+    row = cell["row"]
+    return F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (row + 0.5) * step)), F.pmod((cell["col"] + 0.5) * 360 / _columns(row, step) + 180, F.lit(360.0)) - 180
+
+
 def patch_sight(lat: Column, lon: Column, cell: Column, step: float) -> tuple[Column, Column]:
     """Of a patch seen from a place: the bearing of its middle, and half of the angle that it takes at most (180 from within or close by)."""
     row, n = cell["row"], _columns(cell["row"], step)
