@@ -72,9 +72,10 @@ def grid(events: DataFrame, kind: str, seq: str, places: int = 1, top: int = 50)
     return whole.select("lat", "lon", "n", F.col("best.kind").alias("dominant")).orderBy(F.desc("n"), "lat", "lon").limit(top)
 
 
-def missed(in_range: DataFrame, node: str, seen: Column) -> DataFrame:
-    """By node, of the targets in its range (a row each): how many, those seen, those missed, and the rate of these."""
-    n, d = F.count("*"), F.count_if(seen)
+def missed(in_range: DataFrame, node: str, seen: Column, count: str | None = None) -> DataFrame:
+    """By node, of the targets in its range (a row each, or ``count`` a row): how many, those seen, those missed, and the rate of these."""
+    of = F.lit(1).cast("long") if count is None else F.col(count)
+    n, d = F.sum(of), F.sum(F.when(seen, of).otherwise(0))
     return in_range.groupBy(node).agg(n.alias("in_range"), d.alias("detected"), (n - d).alias("missed"), F.bround((n - d) / n, 3).alias("miss_rate"))
 
 
