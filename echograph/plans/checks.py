@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograph.functions import arcs, checks, gates, geo
-from echograph.operators import feed, health
+from echograph.operators import feed, health, joins
 from echograph.sources import archive
 
 from . import surrogates as su
@@ -252,9 +252,14 @@ o AS (SELECT node_id, i, rx_lat + far * cos(radians(brg)) / {PER_DEG} AS lat, rx
 SELECT node_id, count(*) AS points, round_even(avg(lat), 6) AS mean_lat, round_even(avg(lon), 6) AS mean_lon FROM o GROUP BY node_id HAVING count(*) >= 2""")
 def ambiguity_arcs(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    n = su.sites(spark, sf).withColumn("arc", arcs.ambiguity_arc((c("node_id") * 37 % 300) + 5.0, c("rx_lat"), c("rx_lon"), c("tx_lat"), c("tx_lon"), c("azimuth"), c("width"), c("max_range"), c("max_excess")))
+    n = su.sites(spark, sf).select("node_id", F.struct(*joins.SITE).alias("site"), ((c("node_id") * 37 % 300) + 5.0).alias("delay"))
+    # equal sites draw equal arcs; a site's row doesn't tell how much work its arc is, so they are dealt to all cores
+    kinds = n.select("site", "delay").distinct().repartition(spark.sparkContext.defaultParallelism * 4, "site", "delay")
+    # exploded, so that no filter takes the arc with it below the dealing, where each node would draw it again
+    kinds = kinds.select("site", "delay", F.explode(F.array(arcs.ambiguity_arc(c("delay"), *[c(f"site.{x}") for x in joins.SITE]))).alias("arc"))
     mean = lambda f: F.bround(F.aggregate("arc", F.lit(0.0), lambda s, p: s + p[f]) / F.size("arc"), 6)
-    return n.where("arc is not null").select("node_id", F.size("arc").cast("long").alias("points"), mean("lat").alias("mean_lat"), mean("lon").alias("mean_lon"))
+    of = kinds.where("arc is not null").select("site", "delay", F.size("arc").cast("long").alias("points"), mean("lat").alias("mean_lat"), mean("lon").alias("mean_lon"))
+    return n.join(of, ["site", "delay"]).select("node_id", "points", "mean_lat", "mean_lon")
 
 
 @query(f"""WITH l AS (SELECT s_suppkey AS k, {su.lat_sql("s_suppkey")} AS lat, {su.lon_sql("s_suppkey")} AS lon, list_transform(range(1 + s_suppkey % 5), lambda i: {{'lat': 34.5 + ((s_suppkey * 31 + i * 17) % 100) / 100.0::DOUBLE, 'lon': -82.5 + ((s_suppkey * 13 + i * 29) % 100) / 100.0::DOUBLE}}) AS pts FROM supplier),
