@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echograph.functions import geo
-from echograph.operators import fleet
+from echograph.operators import fleet, pieces
 from echograph.streaming import state
 
 from . import surrogates as su
@@ -99,7 +99,9 @@ SELECT node, seq, at_s FROM r WHERE ok""")
 def registration_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as a customer's registrations: one an hour and two a day at most."""
     asked = su.table(spark, sf, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 3).alias("at_s"))
-    return state.over_batch(asked, "node", "at_s", state.windowed_limits("at_s", [(1, 3600), (2, 86400)]), "node long, seq long, at_s long")
+    dealt = asked.withColumn("_piece", F.coalesce(F.col("node").cast("string"), F.lit("")))
+    kept = pieces.through(dealt, ["at_s", "seq"], state.within_limits("at_s", [(1, 3600), (2, 86400)]), ["kept"], "node long, seq long, at_s long, kept boolean")
+    return kept.where("kept").drop("kept")
 
 
 @query()

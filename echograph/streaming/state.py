@@ -133,6 +133,17 @@ def changed_digest(at: str, digest: str, every_s: float = 150.0) -> Step:
     return step
 
 
+def _spend(t: float, window: list[int], count: list[int], limits: list[tuple[int, int]]) -> bool:
+    """Whether every limit has room for a request at ``t``; if so it's counted in all of them."""
+    for k, (_, seconds) in enumerate(limits):
+        now = int(t // seconds)
+        if now > window[k]:
+            window[k], count[k] = now, 0
+    ok = all(n < most for n, (most, _) in zip(count, limits))
+    count[:] = [n + ok for n in count]
+    return ok
+
+
 def windowed_limits(at: str, limits: list[tuple[int, int]]) -> Step:
     """The requests that every (most, seconds) limit has room for; windows are aligned to multiples of their length.
 
@@ -141,20 +152,22 @@ def windowed_limits(at: str, limits: list[tuple[int, int]]) -> Step:
 
     def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         window, count = (list(state[0]), list(state[1])) if state else ([-1] * len(limits), [0] * len(limits))
-        keep = []
-        for t in rows[at]:
-            for k, (_, seconds) in enumerate(limits):
-                now = int(t // seconds)
-                if now > window[k]:
-                    window[k], count[k] = now, 0
-            ok = all(n < most for n, (most, _) in zip(count, limits))
-            count = [n + ok for n in count]
-            keep.append(ok)
+        keep = [_spend(t, window, count, limits) for t in rows[at]]
         return rows[keep], (window, count)
 
     return step
 
 
+def within_limits(at: str, limits: list[tuple[int, int]]) -> Callable[[dict, tuple], tuple[bool]]:
+    """``windowed_limits`` as a rule of ``pieces.through``: whether a row is kept. Small keys take no group of their own there."""
+
+    def rule(held: dict, row: tuple) -> tuple[bool]:
+        window, count = held.setdefault(0, ([-1] * len(limits), [0] * len(limits)))
+        return (_spend(getattr(row, at), window, count, limits),)
+
+    return rule
+
+
 WINDOWED_LIMITS_STATE = "window array<long>, count array<long>"
 
 # The gates of one-node positions (m/s, s, microseconds) and of the jump flag.
