@@ -78,6 +78,15 @@ def scope() -> Iterator[None]:
             tables.clear()
 
 
+#: Rows that one task is to sort at most, where a shuffle's number of parts follows the rows.
+ROWS_A_TASK = 1_000_000
+
+
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Into how many parts that many rows are dealt: ROWS_A_TASK each, and one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
 def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFrame:
     """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
 

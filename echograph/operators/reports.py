@@ -85,13 +85,14 @@ def shares(counts: DataFrame, n: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).select(*counts.columns, percent(F.col(n), F.col("_s"), 4).alias("pct"), percent(F.col(n), F.col("_m"), 4).alias("bar"))
 
 
-def superseded(uses: DataFrame, key: str, seq: str, source: str) -> DataFrame:
+def superseded(uses: DataFrame, key: str, seq: str, source: str, parts: int | None = None) -> DataFrame:
     """(key, seq, superseded_by): solves of which a later one under another key uses one of the same source tracks, with the first such.
 
-    Read from the newest back, a running value holds the nearest later row of another key, so nothing pairs up a source's rows.
+    Read from the newest back, a running value holds the nearest later row of another key, so nothing pairs up a source's rows. Sources are dealt to ``parts`` tasks
+    once, which is to follow the number of rows (``links.parts_of``), so that a task's sort doesn't grow with them.
     """
     newest_first = Window.partitionBy(source).orderBy(F.desc(seq), F.desc(key))
-    later = uses.select(key, seq, source).distinct().withColumns({"_k": F.lag(key).over(newest_first), "_q": F.lag(seq).over(newest_first)})
+    later = uses.select(key, seq, source).repartition(*([parts] if parts else []), source).distinct().withColumns({"_k": F.lag(key).over(newest_first), "_q": F.lag(seq).over(newest_first)})
     other = F.last(F.when(F.col("_k") != F.col(key), F.col("_q")), ignorenulls=True).over(newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return later.withColumn("_n", other).groupBy(key, seq).agg(F.min("_n").alias("superseded_by")).where("superseded_by is not null")
 

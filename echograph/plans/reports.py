@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.operators import joins, reports, stats
+from echograph.operators import joins, links, reports, stats
 from echograph.streaming import state
 
 from . import surrogates as su
@@ -116,8 +116,10 @@ def reject_shares(spark: SparkSession, sf: str) -> DataFrame:
 SELECT x.key, x.seq, min(y.seq) AS superseded_by FROM u x JOIN u y ON x.source = y.source AND y.seq > x.seq AND y.key <> x.key GROUP BY 1, 2""")
 def superseded_tracks(spark: SparkSession, sf: str) -> DataFrame:
     o = su.table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("key"), F.col("o_orderkey").alias("seq"))
-    uses = su.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("source")).join(o, "seq")
-    return reports.superseded(uses, "key", "seq", "source")
+    lines = su.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("source"))
+    parts = links.parts_of(spark, lines.count())
+    uses = lines.repartition(parts, "seq").join(o.repartition(parts, "seq"), "seq")
+    return reports.superseded(uses, "key", "seq", "source", parts)
 
 
 @query(f"""WITH {su.EVENTS}, r AS (SELECT lat, lon FROM e WHERE kind = 'purchase' ORDER BY at_s DESC, seq DESC LIMIT 1)
