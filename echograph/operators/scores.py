@@ -33,10 +33,25 @@ def near_truth(truths: DataFrame, tracks: DataFrame, km: float) -> DataFrame:
     c = F.col
     a = tracks.select("grid_s", "key", *CARRIED, F.explode(geo.cells(c("lat"), c("lon"), km, around=True)).alias("_c"))
     b = truths.select("grid_s", "hex", *[c(n).alias(f"t_{n}") for n in CARRIED], geo.cells(c("lat"), c("lon"), km).alias("_c"))
-    pairs = a.join(b, ["grid_s", "_c"]).withColumn("distance_m", geo.haversine_km(c("lat"), c("lon"), c("t_lat"), c("t_lon")) * 1000).where(c("distance_m") < km * 1000)
+    # neither side is broadcast: Spark's estimate doesn't see that a point makes several rows
+    pairs = a.hint("merge").join(b, ["grid_s", "_c"]).withColumn("distance_m", geo.haversine_km(c("lat"), c("lon"), c("t_lat"), c("t_lon")) * 1000).where(c("distance_m") < km * 1000)
     return pairs.select("grid_s", "hex", "key", "distance_m", F.hypot(c("vel_east") - c("t_vel_east"), c("vel_north") - c("t_vel_north")).alias("velocity_ms"))
 
 
+def nearest_truth(truths: DataFrame, tracks: DataFrame, km: float) -> DataFrame:
+    """(grid_s, key, hex, distance_m, velocity_ms): each track's nearest truth closer than ``km`` at one instant, of equal ones the smallest hex.
+
+    Tracks at one place of an instant are one place there, and so are truths, for which the smallest hex stands; a track's velocity is held against that one's.
+    """
+    c, at = F.col, ["grid_s", "lat", "lon"]
+    a = tracks.select(*at).distinct().withColumn("_c", F.explode(geo.cells(c("lat"), c("lon"), km, around=True)))
+    b = truths.groupBy("grid_s", c("lat").alias("t_lat"), c("lon").alias("t_lon")).agg(F.min(F.struct("hex", "vel_east", "vel_north")).alias("t")).withColumn("_c", geo.cells(c("t_lat"), c("t_lon"), km))
+    pairs = a.hint("merge").join(b, ["grid_s", "_c"]).withColumn("distance_m", geo.haversine_km(c("lat"), c("lon"), c("t_lat"), c("t_lon")) * 1000).where(c("distance_m") < km * 1000)
+    best = pairs.groupBy(*at).agg(F.min(F.struct("distance_m", "t")).alias("m"))
+    found = tracks.select("key", *at, "vel_east", "vel_north").hint("merge").join(best, at)
+    return found.select("grid_s", "key", "m.t.hex", "m.distance_m", F.hypot(c("vel_east") - c("m.t.vel_east"), c("vel_north") - c("m.t.vel_north")).alias("velocity_ms"))
+
+
 def least_cost(cost: np.ndarray) -> np.ndarray:
     """The column of each row in the cheapest assignment of all rows; there are no more rows than columns.
 
@@ -145,10 +160,8 @@ def siap(truths: DataFrame, tracks: DataFrame, km: float, step_s: int) -> DataFr
     spuriousness: tracks that go with none; accuracies: means over tracks that go with one; rate_of_change: of each truth the tracks needed to cover the time it has any, less one, for each second of that
     time; longest_segment: each truth's longest run with one track, in shares of all its time. Time is counted in instants of step_s. n_tracks counts a track anew after a gap. Ratios of nothing are null.
     """
-    c, near = F.col, near_truth(truths, tracks, km)
-    tables = Tables(truths.sparkSession)
-    best = near.groupBy("grid_s", "key").agg(F.min(F.struct("distance_m", "hex", "velocity_ms")).alias("m"))
-    of = tables.cut(best.select("grid_s", "key", "m.hex", "m.distance_m", "m.velocity_ms"))
+    c, tables = F.col, Tables(truths.sparkSession)
+    of = tables.cut(nearest_truth(truths, tracks, km))
     order = lambda *by: Window.partitionBy(*by).orderBy("grid_s")
     new = lambda *by: (F.coalesce(c("grid_s") - F.lag("grid_s").over(order(*by)), F.lit(step_s + 1)) > step_s).cast("int")
     runs = of.withColumn("_new", new("hex", "key")).withColumn("_run", F.sum("_new").over(order("hex", "key")))
