@@ -59,21 +59,23 @@ def coverage_added(candidates: DataFrame, nodes: DataFrame, width: float = geo.B
     The disc of ``max_range`` becomes cells, each with the number of nodes that see it now (nodes as joins.in_beams takes them). The best of AIMS aims is the one whose
     beam holds most cells that one node sees; of equal ones that with most cells that two see, then the smallest. A candidate that adds nothing has zero areas and aim 0; one
     without a place too. Of several places of one candidate the smallest counts; other columns are left out. Cells that none or more than two nodes see go before aims are tried.
+    Candidates at one place are one there, and so are equal nodes, with their number.
     """
     c = F.col
     steps = math.ceil(max_range / GRID_KM)
-    asked = candidates.groupBy("candidate").agg(F.min(F.struct("rx_lat", "rx_lon")).alias("p")).select("candidate", "p.rx_lat", "p.rx_lon")
+    asked = candidates.groupBy("candidate").agg(F.min(F.struct("rx_lat", "rx_lon")).alias("_place"))
     across = F.sequence(F.lit(-steps), F.lit(steps))
-    grid = asked.withColumn("i", F.explode(across)).withColumn("j", F.explode(across))
-    grid = grid.select("candidate", "rx_lat", "rx_lon", "i", "j", (c("rx_lat") + c("i") * (GRID_KM / GRID_DEG_KM)).alias("lat"), (c("rx_lon") + c("j") * (GRID_KM / GRID_DEG_KM) / F.greatest(F.cos(F.radians("rx_lat")), F.lit(LEAST_COS))).alias("lon"))
+    cores = nodes.sparkSession.sparkContext.defaultParallelism * 4  # small tables that each make thousands of rows
+    grid = asked.select("_place").distinct().repartition(cores, "_place").select("_place", "_place.*").withColumn("i", F.explode(across)).withColumn("j", F.explode(across))
+    grid = grid.select("_place", "rx_lat", "rx_lon", "i", "j", (c("rx_lat") + c("i") * (GRID_KM / GRID_DEG_KM)).alias("lat"), (c("rx_lon") + c("j") * (GRID_KM / GRID_DEG_KM) / F.greatest(F.cos(F.radians("rx_lat")), F.lit(LEAST_COS))).alias("lon"))
     grid = grid.where(geo.haversine_km(c("rx_lat"), c("rx_lon"), c("lat"), c("lon")) <= max_range)
-    cells = grid.select("candidate", "i", "j", "lat", "lon", geo.bearing_deg(c("rx_lat"), c("rx_lon"), c("lat"), c("lon")).alias("_bearing"))
-    fleet = nodes.select("rx_lat", "rx_lon", "tx_lat", "tx_lon", "azimuth", "width", "max_range", "max_excess")
-    seen = joins.in_beams(fleet, cells).groupBy("candidate", "i", "j").agg(F.count("*").alias("_n"), F.first("_bearing").alias("_bearing")).where("_n <= 2")
+    cells = grid.select("_place", "i", "j", "lat", "lon", geo.bearing_deg(c("rx_lat"), c("rx_lon"), c("lat"), c("lon")).alias("_bearing"))
+    fleet = nodes.groupBy(F.struct(*joins.SITE).alias("site")).agg(F.count("*").alias("_sites")).repartition(cores, "site").select("site.*", "_sites")
+    seen = joins.in_beams(fleet, cells).groupBy("_place", "i", "j").agg(F.sum("_sites").alias("_n"), F.first("_bearing").alias("_bearing")).where("_n <= 2")
     aims = F.array(*[F.lit(k * 360.0 / AIMS) for k in range(AIMS)])
     aimed = seen.withColumn("aim", F.explode(aims)).where(geo.fold_deg(c("_bearing") - c("aim")) <= width / 2)
-    areas = aimed.groupBy("candidate", "aim").agg(*[(F.count_if(c("_n") == n) * GRID_KM**2).alias(name) for n, name in ((1, "a"), (2, "b"))])
-    best = areas.groupBy("candidate").agg(F.max(F.struct("a", "b", (-c("aim")).alias("aim"))).alias("m"))
-    found = asked.select(c("candidate").alias("_c")).join(best, c("_c").eqNullSafe(c("candidate")), "left")
+    areas = aimed.groupBy("_place", "aim").agg(*[(F.count_if(c("_n") == n) * GRID_KM**2).alias(name) for n, name in ((1, "a"), (2, "b"))])
+    best = areas.groupBy("_place").agg(F.max(F.struct("a", "b", (-c("aim")).alias("aim"))).alias("m"))
+    found = asked.join(best, "_place", "left")
     zero = lambda x, name: F.coalesce(F.bround(x), F.lit(0.0)).alias(name)
-    return found.select(c("_c").alias("candidate"), zero(c("m.a"), "area_added_km2"), zero(c("m.b"), "area_n3_km2"), F.coalesce(F.abs(c("m.aim")), F.lit(0.0)).alias("best_azimuth_deg"))
+    return found.select("candidate", zero(c("m.a"), "area_added_km2"), zero(c("m.b"), "area_n3_km2"), F.coalesce(F.abs(c("m.aim")), F.lit(0.0)).alias("best_azimuth_deg"))
