@@ -124,6 +124,7 @@ b AS (SELECT {ERRORS} FROM m)
 SELECT n_matched + n_unmatched AS n_solves, n_matched + more AS n_unique_aircraft, round_even(coalesce(100.0::DOUBLE * n_matched / nullif(n_matched + more, 0), 0), 1) AS match_rate_pct, b.*, n_unmatched, nearest_mean_km, nearest_median_km, nearest_p95_km FROM b, a""")
 def mlat_summary(spark: SparkSession, sf: str) -> DataFrame:
     now, points, pool, matches = _matches(spark, sf)
-    found = ve.Tables(spark).cut(matches)
-    nearest = ve.nearest_truth(now.join(found.select("solve"), "solve", "left_anti"), ve.trail_points(points), ve.MATCH_S, pool)
+    tables = ve.Tables(spark)
+    found = tables.cut(matches)
+    nearest = ve.nearest_truth(now.join(found.select("solve"), "solve", "left_anti"), tables.cut(ve.trail_points(points)), ve.MATCH_S, pool)
     return ve.match_summary(now, found, nearest)
