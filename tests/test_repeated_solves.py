@@ -1,11 +1,14 @@
-"""Solves of which many share a time and a place, against truth: results by plain loops, work by the different ones."""
+"""Rows of which many share a time and a place: results by plain loops, work by the different ones."""
 
+import math
 import random
 
 import pytest
 
+from echograph.operators import association as asc
 from echograph.operators import verification as ve
 
+from test_association import DET, FIX, SITE, SITES, detection
 from test_verification import META, POINT, POOL, SOLVE, km
 
 
@@ -65,3 +68,29 @@ def test_nearest_truth_asks_once_for_each_place_and_time(spark, monkeypatch):
         d, _, h = min(near)
         assert got[s.solve] == (h, d)
     assert max(asked) <= 7 and len(got) == solves.count()
+
+
+def test_tags_of_aircraft_and_nodes_that_stand_alike(spark, monkeypatch):
+    met, whole = [], asc.in_beams
+    monkeypatch.setattr(asc, "in_beams", lambda nodes, targets: met.append((nodes.count(), targets.count())) or whole(nodes, targets))
+    node = next(s for s in SITES if s[0] == "a")
+    says = lambda east, s: detection(node, 0, 0, 34.0, -82.05 + east * s / (math.cos(math.radians(34.0)) * math.pi * 6371 / 180 * 1000), 3.0, east, 0.0)[3:]
+    fixes = [(f"h{k}", 100.0, 34.0, -82.05, 3000.0, 50.0, 0.0) for k in range(9)]
+    fixes += [("h0", 103.0, 34.0, -82.05, 3000.0, 0.0, 0.0), ("h1", 102.0, 34.0, -82.05, 3000.0, 0.0, 0.0), ("h2", 106.0, 34.0, -82.05, 3000.0, 0.0, 0.0), ("h3", 300.0, 34.0, -82.05, 3000.0, 0.0, 0.0)]
+    rows = [(k, f"a{k % 3}", at, *says(50.0, at - 100.0), None) for k, at in enumerate([100.0, 101.0, 102.0, 103.0, 105.0, 106.0, 110.0, 110.5])]
+    sites = [(f"a{k}", *node[1:]) for k in range(3)]
+    got = {r.det: r.tag for r in asc.tagged(spark.createDataFrame(rows, DET), spark.createDataFrame(fixes, FIX), spark.createDataFrame(sites, SITE)).collect()}
+    want = {}
+    for det, _, at, d, f, _ in rows:
+        held = {}
+        for h, t, *of in sorted(fixes, key=lambda x: x[1]):
+            if 0 <= at - t <= asc.FRESH_S:
+                held[h] = (t, of[3])
+        near = []
+        for h, (t, east) in held.items():
+            p, q = says(east, at - t)
+            if abs(d - p) <= asc.TAG_US and abs(f - q) <= asc.TAG_HZ:
+                near.append((round(((d - p) / asc.TAG_US) ** 2 + ((f - q) / asc.TAG_HZ) ** 2, 9), h))
+        want[det] = min(near)[1] if near else None
+    assert got == want and len(set(got.values())) > 2
+    assert met == [(1, 1)]  # one site and one place, however many nodes and aircraft
