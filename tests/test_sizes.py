@@ -61,3 +61,15 @@ def test_candidates_at_one_place_add_alike(spark):
     assert found[1] == found[2] == alone[2] and found[3] == (0.0, 0.0, 0.0)
     once = {r.candidate: tuple(r)[1:] for r in towers.coverage_added(asked, nodes.distinct()).collect()}
     assert once[2] != found[2]  # equal nodes count as many
+
+
+def test_links_follow_keys_and_crowds_not_rows(spark, monkeypatch):
+    asked, plain = [], pieces.components
+    monkeypatch.setattr(pieces, "components", lambda spark, edges, tables: asked.append(edges.where("a != b").distinct().count()) or plain(spark, edges, tables))
+    k = F.col("id")
+    for n in (400, 4000):
+        solves = spark.range(n).select(k.alias("seq"), (k % 100).cast("double").alias("at_s"), (34 + k % 7 * 0.001).alias("lat"), F.lit(-82.0).alias("lon"), F.lit(9.0).alias("vel_east"), F.lit(9.0).alias("vel_north"), F.when(k % 5 == 0, "h").alias("hex"), F.lit(None).cast("string").alias("anchor"), F.when(k % 3 == 0, F.array(F.lit("s"))).alias("sources"), F.array().cast("array<string>").alias("types"))
+        assert pieces.track_identities(solves).count() == n
+    assert asked[0] == asked[1] < 40
+    claims = spark.range(4000).select(k.alias("seq"), (k % 100).alias("at_s"), F.lit(1.0).alias("chi2"), F.array((k % 3).cast("string"), F.lit("x")).alias("tracks"))
+    assert pieces.track_claims(claims).count() == 4000 and asked[2] < 40
