@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from echograph.functions import geo
 
 from .fleet import resample
-from .links import Tables, components
+from .links import Tables, components, parts_of
 from .pieces import through, vertex
 
 CARRIED = ["lat", "lon", "vel_east", "vel_north"]
@@ -80,44 +81,134 @@ def least_cost(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _taken(linked: pd.DataFrame, most: float) -> np.ndarray:
-    """Which pairs of a linked set the best matching takes; a side of the set that stays alone costs half of ``most``."""
+def least_flow(a: np.ndarray, b: np.ndarray, cost: np.ndarray, supply: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How much each edge (a, b) carries so that all costs least; a source's supply may stay where it is at no cost, a sink takes no more than its room.
+
+    Supplies come one by one by the shortest way over reduced costs, as in ``least_cost``, but along the edges that there are and as much at once as the way holds.
+    """
+    by_source = np.argsort(a, kind="stable")
+    start = np.searchsorted(a[by_source], np.arange(len(supply) + 1))
+    flow, room, into = np.zeros(len(a), np.int64), room.copy(), [set() for _ in room]
+    price_a, price_b = np.zeros(len(supply)), np.zeros(len(room))
+    for root, left in enumerate(supply.tolist()):
+        while left > 0:
+            away, over, heap, final = np.full(len(room), np.inf), {}, [], {}
+            seen, next_, best, last = {root: (0.0, -1)}, [root], (np.inf, -1), -1
+            while last < 0:
+                for row in next_:
+                    way = seen[row][0]
+                    best = min(best, (way - price_a[row], row))
+                    edges = by_source[start[row] : start[row + 1]]
+                    step = way + cost[edges] - price_a[row] - price_b[b[edges]]
+                    better = (step < away[b[edges]]) & (step < best[0])
+                    edges, step = edges[better], step[better]
+                    away[b[edges]] = step
+                    for s, e, j in zip(step.tolist(), edges.tolist(), b[edges].tolist()):
+                        over[j] = e
+                        heappush(heap, (s, j))
+                next_ = []
+                if not heap or heap[0][0] >= best[0]:
+                    break
+                s, j = heappop(heap)
+                if s > away[j]:
+                    continue
+                final[j], away[j] = s, -np.inf
+                if room[j] > 0:
+                    last = j
+                    break
+                for e in into[j]:
+                    if a[e] not in seen:
+                        seen[int(a[e])] = (s, e)
+                        next_.append(int(a[e]))
+            way = final[last] if last >= 0 else best[0]
+            for row, (s, _) in seen.items():
+                price_a[row] += max(way - s, 0.0) if row != root else way
+            for j, s in final.items():
+                price_b[j] += min(s - way, 0.0)
+            on, off, row, j = [], [], best[1], last
+            while j >= 0 or row != root:
+                if j >= 0:
+                    on.append(over[j])
+                    row, j = int(a[over[j]]), -1
+                else:
+                    off.append(seen[row][1])
+                    j = int(b[off[-1]])
+            much = min([left, *flow[off].tolist(), *([int(room[last])] if last >= 0 else [])])
+            flow[on] += much
+            flow[off] -= much
+            for e in on:
+                into[b[e]].add(e)
+            for e in off:
+                if not flow[e]:
+                    into[b[e]].discard(e)
+            if last >= 0:
+                room[last] -= much
+            left -= much
+    return flow
+
+
+#: Cells of a matrix in which single truths and tracks are matched.
+MOST_DENSE = 1 << 16
+
+
+def _flows(linked: pd.DataFrame, most: float) -> np.ndarray:
+    """Of each pair of places of a linked set how many are matched; a truth or a track that stays alone costs half of ``most``."""
     if len(linked) == 1:
-        return np.ones(1, bool)
-    (a, left), (b, right) = (pd.factorize(linked[s]) for s in ("_a", "_b"))
-    gain = np.zeros((len(left), len(right)))
-    gain[a, b] = linked["distance_m"].to_numpy() - most
-    if len(left) > len(right):
-        gain, a, b = gain.T, b, a
-    return least_cost(gain)[a] == b
+        return np.minimum(linked["t_n"], linked["n"]).to_numpy()
+    a, b = (linked.groupby(list(at), sort=False).ngroup().to_numpy() for at in (("t_lat", "t_lon"), ("lat", "lon")))
+    supply, room = (linked[n].to_numpy()[np.unique(x, return_index=True)[1]] for n, x in (("t_n", a), ("n", b)))
+    gain = linked["distance_m"].to_numpy() - most
+    if len(supply) * len(room) > MOST_DENSE or supply.max() > 1 or room.max() > 1:
+        return least_flow(a, b, gain, supply, room)
+    dense = np.zeros((len(supply), len(room)))
+    dense[a, b] = gain
+    if len(supply) > len(room):
+        dense, a, b = dense.T, b, a
+    return (least_cost(dense)[a] == b).astype(np.int64)
 
 
 def matched(pairs: DataFrame, km: float) -> DataFrame:
-    """Pairs (grid_s, hex, key, distance_m) of each instant's cheapest one-to-one matching, where a truth or a track left alone costs half of ``km``.
+    """(grid_s, n_matched, localisation_m): by linked set, of each instant's cheapest one-to-one matching of truths and tracks, where one left alone costs half of ``km``.
 
-    Pairs that share a side, directly or not, are linked; a linked set is one task's group and a matrix of its own truths by its own tracks, so an instant is as many
-    groups as it has crowds apart from each other.
+    pairs have the places of tracks (lat, lon) and of truths (t_lat, t_lon), how many stand there (n and t_n) and distance_m. Places that are linked by pairs, directly or not, are one task's group, which holds
+    their pairs and goes through them place by place, however many stand there.
     """
     tables, most = Tables(pairs.sparkSession), km * 1000
-    ends = tables.cut(pairs.select("grid_s", "hex", "key", "distance_m", vertex("truth", F.col("grid_s"), F.col("hex")).alias("_a"), vertex("track", F.col("grid_s"), F.col("key")).alias("_b")))
-    linked = components(pairs.sparkSession, ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")), tables).withColumnsRenamed({"id": "_a", "component": "_set"})
-    dealt = ends.join(linked, "_a").repartition("_set").sortWithinPartitions("_set", "_a", "_b")
+    of = ["grid_s", "lat", "lon", "n", "t_lat", "t_lon", "t_n", "distance_m"]
+    c = F.col
+    ends = tables.cut(pairs.select(*of, vertex("truth", c("grid_s"), c("t_lat"), c("t_lon")).alias("_a"), vertex("track", c("grid_s"), c("lat"), c("lon")).alias("_b")))
+    linked = components(pairs.sparkSession, ends.select(c("_a").alias("a"), c("_b").alias("b")), tables).withColumnsRenamed({"id": "_a", "component": "_set"})
+    # more parts than cores: a set is one task's work
+    dealt = ends.join(linked, "_a").select("_set", *of).repartition(parts_of(pairs.sparkSession, 0) * 8, "_set").sortWithinPartitions("_set", "grid_s", "t_lat", "t_lon", "lat", "lon")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held = []
         for batch in batches:
-            whole = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (whole["_set"] == whole["_set"].iloc[-1]).to_numpy() if len(whole) else np.zeros(0, bool)
-            yield finished(whole[~last])
-            held = whole[last]
-        if held is not None:
-            yield finished(held)
+            ends = np.flatnonzero((batch["_set"] != batch["_set"].shift()).to_numpy())
+            for s, e in zip(ends, [*ends[1:], len(batch)]):
+                if held and held[-1]["_set"].iloc[0] != batch["_set"].iloc[s]:
+                    yield finished(pd.concat(held))
+                    held = []
+                held.append(batch.iloc[s:e])
+        if held:
+            yield finished(pd.concat(held))
 
     def finished(whole: pd.DataFrame) -> pd.DataFrame:
-        kept = [part[_taken(part, most)] for _, part in whole.groupby("_set", sort=False)]
-        return (pd.concat(kept) if kept else whole)[["grid_s", "hex", "key", "distance_m"]]
+        flow = whole["grid_s"] * 0
+        for _, part in whole.reset_index(drop=True).groupby("grid_s", sort=False):
+            flow.iloc[part.index] = _flows(part, most)
+        whole = whole.assign(n_matched=flow.to_numpy(), localisation_m=whole["distance_m"].to_numpy() * flow.to_numpy())
+        return whole.groupby("grid_s", as_index=False)[["n_matched", "localisation_m"]].sum()
 
-    return dealt.mapInPandas(run, pairs.select("grid_s", "hex", "key", "distance_m").schema)
+    return dealt.mapInPandas(run, f"grid_s {dict(pairs.dtypes)['grid_s']}, n_matched long, localisation_m double")
+
+
+def places_near(truths: DataFrame, tracks: DataFrame, km: float) -> DataFrame:
+    """Pairs of places closer than ``km`` at one instant, as ``matched`` takes them."""
+    c, at = F.col, ["grid_s", "lat", "lon"]
+    a = tracks.groupBy(*at).agg(F.count("*").alias("n")).withColumn("_c", F.explode(geo.cells(c("lat"), c("lon"), km, around=True)))
+    b = truths.groupBy("grid_s", c("lat").alias("t_lat"), c("lon").alias("t_lon")).agg(F.count("*").alias("t_n")).withColumn("_c", geo.cells(c("t_lat"), c("t_lon"), km))
+    return a.hint("merge").join(b, ["grid_s", "_c"]).withColumn("distance_m", geo.haversine_km(c("lat"), c("lon"), c("t_lat"), c("t_lon")) * 1000).where(c("distance_m") < km * 1000).drop("_c")
 
 
 def gospa(truths: DataFrame, tracks: DataFrame, km: float) -> DataFrame:
@@ -129,7 +220,7 @@ def gospa(truths: DataFrame, tracks: DataFrame, km: float) -> DataFrame:
     half = km * 1000 / 2
     sides = truths.groupBy("grid_s").agg(F.count("*").alias("n_truths"), F.lit(0).cast("long").alias("n_tracks")).unionByName(tracks.groupBy("grid_s").agg(F.lit(0).cast("long").alias("n_truths"), F.count("*").alias("n_tracks")))
     sides = sides.groupBy("grid_s").agg(F.sum("n_truths").alias("n_truths"), F.sum("n_tracks").alias("n_tracks"))
-    found = matched(near_truth(truths, tracks, km), km).groupBy("grid_s").agg(F.count("*").alias("n_matched"), F.sum("distance_m").alias("localisation_m"))
+    found = matched(places_near(truths, tracks, km), km).groupBy("grid_s").agg(F.sum("n_matched").alias("n_matched"), F.sum("localisation_m").alias("localisation_m"))
     of = sides.join(found, "grid_s", "left").na.fill({"n_matched": 0, "localisation_m": 0.0})
     of = of.withColumns({"missed_m": (F.col("n_truths") - F.col("n_matched")) * half, "false_m": (F.col("n_tracks") - F.col("n_matched")) * half})
     return of.withColumn("distance_m", F.expr("localisation_m + missed_m + false_m"))

@@ -23,6 +23,34 @@ def test_assignment_equals_all_permutations():
         assert len(set(found)) == n and cost[np.arange(n), found].sum() == pytest.approx(min(cost[np.arange(n), list(p)].sum() for p in itertools.permutations(range(m), n)))
 
 
+def test_flows_equal_all_permutations():
+    rng = np.random.default_rng(2)
+    for t in range(60):
+        n, m = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+        supply, room = rng.integers(1, 3, n), rng.integers(1, 3, m)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(m), indexing="ij"))
+        some = rng.random(n * m) < 0.8
+        a, b, cost = a[some], b[some], -np.round(rng.uniform(0.1, 5, some.sum()), t % 3)
+        flow = scores.least_flow(a, b, cost, supply, room)
+        assert (flow >= 0).all() and all(flow[a == i].sum() <= supply[i] for i in range(n)) and all(flow[b == j].sum() <= room[j] for j in range(m))
+        whole = np.zeros((n, m))
+        whole[a, b] = cost
+        whole = np.repeat(np.repeat(whole, supply, 0), room, 1)
+        whole = whole if whole.shape[0] <= whole.shape[1] else whole.T
+        want = min(whole[np.arange(len(whole)), list(p)].sum() for p in itertools.permutations(range(whole.shape[1]), len(whole)))
+        assert (flow * cost).sum() == pytest.approx(want)
+
+
+def test_crowds_at_places_are_matched_by_places(spark):
+    rng = np.random.default_rng(4)
+    at = lambda name, n: spark.createDataFrame([(f"{name}{i}", 0, 0.01 * float(rng.integers(0, 9)), 0.01 * float(rng.integers(0, 3)), 0.0, 0.0) for i in range(n)], GRID.format(name))
+    t, k = at("hex", 90), at("key", 80)
+    cost = np.array([[min(0.0, math.dist((a.lat * KM_DEG, a.lon * KM_DEG), (b.lat * KM_DEG, b.lon * KM_DEG)) * 1000 - 3000) for b in t.collect()] for a in k.collect()])
+    want = cost[np.arange(80), scores.least_cost(cost)].sum() + 170 * 1500
+    assert scores.places_near(t, k, 3.0).count() <= 27 * 27
+    assert scores.gospa(t, k, 3.0).first().distance_m == pytest.approx(want, rel=1e-5)
+
+
 def best(truths, tracks, km):
     """The cheapest total in m, over all ways to match."""
     d = [[math.dist((a * KM_DEG, b * KM_DEG), (p * KM_DEG, q * KM_DEG)) * 1000 for p, q in tracks] for a, b in truths]
