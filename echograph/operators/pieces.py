@@ -83,9 +83,10 @@ def reached(solves: DataFrame, full: DataFrame | None = None) -> DataFrame:
     ways = ways.withColumn("cell", geo.cells(*carried(c("lat"), c("lon"), c("east"), c("north"), (c("_i") + 0.5) / c("_n") * live), CELL_KM))
     own = dark.select("_row", "cell", "slice").distinct()
     crowd = own.unionByName(ways.select("_row", "cell", "slice").distinct().withColumn("cell", F.explode(_around(c("cell"))))).join(full, ["cell", "slice"]).select(c("_row").alias("a"), vertex("c", c("cell"), c("slice")).alias("b"))
-    # the few of a cube that isn't full go to the cubes beside it, not all ways
-    next_ = dark.join(full, ["cell", "slice"], "left_anti").select(F.explode(_around(c("cell"))).alias("cell"), "slice", *[c(n).alias(f"n_{n}") for n in ("_row", "at_s", "lat", "lon", "anchored")])
-    pairs = ways.join(next_, ["cell", "slice"])
+    # cubes of ways meet the cubes beside them first, so that only where someone stands rows are repeated; merged, as Spark's estimate of a side doesn't count what explode makes of it
+    next_ = dark.join(full, ["cell", "slice"], "left_anti").select(c("cell").alias("n_cell"), "slice", *[c(n).alias(f"n_{n}") for n in ("_row", "at_s", "lat", "lon", "anchored")])
+    beside = ways.select("cell", "slice").distinct().withColumn("n_cell", F.explode(_around(c("cell")))).hint("merge").join(next_.select("n_cell", "slice").distinct(), ["n_cell", "slice"])
+    pairs = ways.hint("merge").join(beside, ["cell", "slice"]).hint("merge").join(next_, ["n_cell", "slice"])
     gap = c("n_at_s") - c("at_s")
     near = lambda lat, lon: geo.haversine_km(lat, lon, c("n_lat"), c("n_lon")) <= identity.NEAR_KM * 1.001
     pairs = pairs.where(gap.between(0, live) & (near(*carried(c("lat"), c("lon"), c("east"), c("north"), gap)) | (c("n_anchored") & near(c("lat"), c("lon")))))

@@ -73,3 +73,18 @@ def test_links_follow_keys_and_crowds_not_rows(spark, monkeypatch):
     assert asked[0] == asked[1] < 40
     claims = spark.range(4000).select(k.alias("seq"), (k % 100).alias("at_s"), F.lit(1.0).alias("chi2"), F.array((k % 3).cast("string"), F.lit("x")).alias("tracks"))
     assert pieces.track_claims(claims).count() == 4000 and asked[2] < 40
+
+
+def test_what_is_repeated_for_cubes_beside_is_not_broadcast(spark, tmp_path):
+    k = F.col("id")
+    spark.range(300).select(k.alias("_row"), (k % 100).cast("double").alias("at_s"), (34 + k % 50 * 0.2).alias("lat"), F.lit(-82.0).alias("lon"), F.lit(9.0).alias("vel_east"), F.lit(9.0).alias("vel_north"), F.lit(None).cast("string").alias("hex"), F.lit(None).cast("string").alias("anchor")).write.parquet(f"{tmp_path}/solves")
+    solves = spark.read.parquet(f"{tmp_path}/solves")
+    pieces.crowds(solves).write.parquet(f"{tmp_path}/full")
+    edges = pieces.reached(solves, spark.read.parquet(f"{tmp_path}/full"))
+    lines, sent = edges._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [*lines[i + 1 :], ""]
+            sent += below[: next(j for j, x in enumerate(below) if depth(x) <= depth(line))]
+    assert sent and not [x for x in sent if "Generate" in x] and edges.count()
