@@ -1,8 +1,11 @@
 """Work that follows what differs among the rows, and tasks that don't grow with them."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from echograph.operators import links, pieces, reports, scores, solving, towers
+from echograph.operators import association, joins, links, pieces, reports, scores, solving, towers
+from echograph.plans import association as detections
 from echograph.plans import checks
 from echograph.plans import solving as solves
 from echograph.streaming import state
@@ -88,3 +91,46 @@ def test_what_is_repeated_for_cubes_beside_is_not_broadcast(spark, tmp_path):
             below = [*lines[i + 1 :], ""]
             sent += below[: next(j for j, x in enumerate(below) if depth(x) <= depth(line))]
     assert sent and not [x for x in sent if "Generate" in x] and edges.count()
+
+
+def test_slots_alike_are_matched_once_and_sites_are_gone_over_once(monkeypatch):
+    calls = {"_taken": 0, "fitting": 0, "site_cells": 0}
+
+    def counted(name, plain):
+        def run(*a):
+            calls[name] += 1
+            return plain(*a)
+
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(association, name, counted(name, getattr(association, name)))
+    monkeypatch.setattr(association, "_kept", {}, raising=False)
+    sites = {"a": (34.0, -82.0, 34.1, -82.3, np.nan, 360.0, 30.0, np.nan), "b": (34.1, -82.1, 33.9, -82.2, np.nan, 360.0, 30.0, np.nan)}
+    rng = np.random.default_rng(1)
+    seen = [(n, k, float(rng.uniform(5, 90)), float(rng.uniform(-100, 100))) for n in "ab" for k in range(12)]
+    rows = pd.DataFrame([(slot, n, 100 * slot + k, d, w, *sites[n], 0, 0, 0, 0, 0) for slot in range(5) for n, k, d, w in rng.permutation(np.array(seen, object))], columns=["slot", "node_id", "det", "delay_us", "w", *association.AIM, "_class", "_part", "_i", "_j", "_g"])
+    rows[["det", "slot"]] = rows[["det", "slot"]].astype(int)
+    rows[["delay_us", "w"]] = rows[["delay_us", "w"]].astype(float)
+    step = association._by_slot(True, 6)
+    found = pd.concat([*step(iter([rows[:31], rows[31:]]))])
+    assert calls == {"_taken": 1, "fitting": 1, "site_cells": 2} and len(found) > 10
+    alone = pd.concat([*step(iter([rows[rows.slot == 3]]))])
+    assert calls["site_cells"] == 2  # kept for the next task
+    by = ["node_a", "node_b", "det_a", "det_b"]
+    assert alone.sort_values(by).values.tolist() == found[found.slot == 3].sort_values(by).values.tolist()
+    assert len(found) == 5 * len(alone) and ((found.det_a - found.slot * 100) < 12).all()
+
+
+def test_aircraft_that_fly_alike_are_measured_once(spark, tmp_path, monkeypatch):
+    asked, plain = [], joins.in_beams
+    monkeypatch.setattr(joins, "in_beams", lambda nodes, targets, *a: asked.append((nodes.count(), targets.count())) or plain(nodes, targets, *a))
+    spark.range(2400).where("id % 1200 < 60").select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(7200).where("id % 3600 < 90").select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = detections._detections(spark, str(tmp_path)).toPandas()
+    assert asked == [(90, 60)] and len(found) > 100 and not found.duplicated().any()
+    once = found[(found.det < 1200) & (found.node_id < 3600)]
+    assert len(found) == 4 * len(once) and sorted(found.delay_us.unique()) == sorted(once.delay_us.unique())
+    k = F.col("id")
+    flown = spark.range(2400).where("id % 1200 < 60").select(k.alias("hex"), detections.su.lat(k * 3 + 1).alias("lat"), detections.su.lon(k * 5 + 2).alias("lon"))
+    assert plain(detections._sites(spark, str(tmp_path)), flown).where("hex % 3 = node_id % 3").count() == len(found)
