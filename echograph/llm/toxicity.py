@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +29,23 @@ def _hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) & _KEEP
 
 
+def spelled(word: str) -> tuple[str, ...]:
+    """What stands for a word in lower case, and for its beginnings."""
+    return ("w" + word, *(f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n))
+
+
 def terms_of(word: str) -> tuple[int, ...]:
     """The hashes of a word in lower case and of its beginnings."""
-    return (_hash("w" + word), *(_hash(f"{n}{word[:n]}") for n in BEGINNINGS if len(word) > n))
+    return tuple(_hash(x) for x in spelled(word))
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """The different words of a text in lower case. None reaches over white space; what stands between it is mostly one word, and only else searched."""
+    pieces = set((text or "").lower().split())
+    rest = [x for x in pieces if not x.isalnum()]
+    pieces.difference_update(rest)
+    pieces.update(_WORD.findall(" ".join(rest)))
+    return pieces
 
 
 class Chosen:
@@ -43,22 +53,46 @@ class Chosen:
 
     def __init__(self, ids: np.ndarray):
         self.places = {int(x): k for k, x in enumerate(ids)}
-        self.none: set[str] = set()
-        self.some: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def held(self, text: str | None) -> dict[str, tuple[int, ...]]:
+        """The text's words that hold chosen terms, and the places of these."""
+        known, out = self.known, {}
+        for w in words_of(text):  # not words - known.keys(), which goes over all that is known for each text
+            if (got := known.get(w)) is None:
+                got = known[w] = tuple(self.places[t] for t in terms_of(w) if t in self.places)
+            if got:
+                out[w] = got
+        if len(known) > 200_000:
+            known.clear()
+        return out
 
     def of(self, text: str | None) -> np.ndarray:
         """The places, in order, of the text's terms among the chosen ones."""
-        words, places = words_of(text), self.places
-        for w in words - self.none - self.some.keys():
-            if got := [places[t] for t in terms_of(w) if t in places]:
-                self.some[w] = got
-            else:
-                self.none.add(w)
-        out = np.array(sorted({p for w in words & self.some.keys() for p in self.some[w]}), np.int64)
-        if len(self.none) + len(self.some) > 200_000:
-            self.none.clear()
-            self.some.clear()
-        return out
+        return np.array(sorted({p for got in self.held(text).values() for p in got}), np.int64)
+
+    def names(self, words: Iterable[str]) -> set[str]:
+        """How the chosen terms that the words hold are spelled."""
+        return {x for w in words for x in spelled(w) if _hash(x) in self.places}
+
+
+class Named:
+    """Finds the chosen terms of texts by how they are spelled, so that no word is hashed or remembered: of most the first letters tell that they hold none."""
+
+    def __init__(self, ids: np.ndarray, names: frozenset[str]):
+        places = {int(x): k for k, x in enumerate(ids)}
+        self.whole = {x[1:]: places[_hash(x)] for x in names if x[0] == "w"}
+        self.begun = [{x[1:]: places[_hash(x)] for x in names if x[0] == str(n)} for n in BEGINNINGS]
+        self.firsts = {x[1:][: min(BEGINNINGS)] for x in names}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The places, in order, of the text's terms among the chosen ones."""
+        firsts, out, n = self.firsts, set(), min(BEGINNINGS)
+        near = [w for w in words_of(text) if w[:n] in firsts]
+        out.update(map(self.whole.get, near))
+        for n, begun in zip(BEGINNINGS, self.begun):
+            out.update([begun.get(w[:n]) for w in near if len(w) > n])
+        return np.array(sorted(out - {None}), np.int64)
 
 
 @dataclass
@@ -69,6 +103,10 @@ class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    names: frozenset[str] = frozenset()  # how the ids' terms are spelled
+
+    def chosen(self) -> Named:
+        return Named(self.ids, self.names)
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(rows), self.bias)
@@ -93,6 +131,7 @@ def train(ids: np.ndarray, rows: list[np.ndarray], y: np.ndarray, rounds: int =
     sizes = np.array([len(r) for r in rows])
     owner, term = np.repeat(np.arange(n), sizes), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     order = np.argsort(term, kind="stable")
+    held, holder = term[order], owner[order]
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (y == 0).sum()))
     one, two = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
 
@@ -109,7 +148,7 @@ def train(ids: np.ndarray, rows: list[np.ndarray], y: np.ndarray, rounds: int =
         total, square = by(owner, own, n), by(owner, own * own, n)
         z = bias + np.bincount(owner, w[term], n) + 0.5 * (total * total - square).sum(1)
         e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        grads = [np.array([e.sum()]), np.bincount(term, e[owner], d) + decay * w, by(term[order], ((total[owner] - own) * e[owner, None])[order], d) + decay * v]
+        grads = [np.array([e.sum()]), np.bincount(term, e[owner], d) + decay * w, by(held, (total[holder] - v[held]) * e[holder, None], d) + decay * v]
         for p, g, a, b in zip(theta, grads, one, two):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -124,7 +163,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for text in batch.column(0).to_pylist():
             words = words_of(text)
-            known |= {w: terms_of(w) for w in words - known.keys()}
+            for w in words:  # not words - known.keys(), which goes over all that is known for each text
+                if w not in known:
+                    known[w] = terms_of(w)
             terms = {t for w in words for t in known[w]}
             found.append(np.fromiter(terms, np.int64, len(terms)))
         flat, label = np.concatenate(found), np.repeat(y, [len(f) for f in found])
@@ -156,8 +197,10 @@ def _pick(ids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = Chosen(ids)
         for batch in slices(batches, "text"):
-            got = [chosen.of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.int32).tobytes() for g in got], pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
+            got = [chosen.held(t) for t in batch.column(0).to_pylist()]
+            places = [np.array(sorted({p for v in g.values() for p in v}), np.int32).tobytes() for g in got]
+            names = [sorted(chosen.names(g)) for g in got]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), batch.column(1).cast(pa.int32()), pa.array(names, pa.list_(pa.string()))], ["x", "y", "names"])
 
     return run
 
@@ -183,10 +226,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "
     first = np.array(sorted(_telling(tables, rows)), np.int64)
     beside = _telling(tables, tables.cut(rows.mapInArrow(_holding(first), rows.schema))) if len(first) else []
     ids = np.array(sorted({*first.tolist(), *beside}), np.int64)
-    got = rows.mapInArrow(_pick(ids), "x binary, y int").toArrow()
+    got = rows.mapInArrow(_pick(ids), "x binary, y int, names array<string>").toArrow()
     tables.clear()
     data = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist()))
-    return train(ids, [np.frombuffer(x, np.int32).astype(np.int64) for x, _ in data], np.array([y for _, y in data], np.float64))
+    model = train(ids, [np.frombuffer(x, np.int32).astype(np.int64) for x, _ in data], np.array([y for _, y in data], np.float64))
+    # a chosen term has been met in the sample, so its spelling is known there
+    model.names = frozenset(x for names in got.column("names").to_pylist() for x in names)
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +247,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     model = fit(spark, docs, labels, target, sample, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = Chosen(model.ids)
+        chosen = model.chosen()
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score([chosen.of(t) for t in batch.column(1).to_pylist()]))], [id_col, "score"])
 
@@ -219,7 +265,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
 
     @F.arrow_udf("boolean")
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        chosen = Chosen(model.ids)
+        chosen = model.chosen()
         for part in texts:
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             yield pa.concat_arrays([pa.array(model.score([chosen.of(t) for t in x.column(0).to_pylist()]) < 0.5) for x in slices(iter([batch]), "text")] or [pa.array([], pa.bool_())])
